@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions.numbers import round_half_up
 from shelfwise.functions.text import alternative_stem, js_trim
 from shelfwise.operators.search import best_per_chain, with_product_details
-from shelfwise.session import broadcast_if_small
+from shelfwise.session import broadcast_if_small, materialize
 from shelfwise.sources.snapshot import Catalog
 
 #: items a basket may hold; a larger request is refused whole
@@ -56,11 +56,9 @@ def valid_lines(lines: DataFrame) -> DataFrame:
 
 
 def _asked(lines: DataFrame) -> DataFrame:
-    return (
-        lines.select(*_WANT)
-        .distinct()
-        .select(F.struct(*_WANT).alias("query_id"), F.col("query").alias("q"), "city", "county")
-    )
+    """Distinct (query, place) pairs, written once: every later step starts from them."""
+    pairs = materialize(lines.select(*_WANT).distinct(), "asked")
+    return pairs.select(F.struct(*_WANT).alias("query_id"), F.col("query").alias("q"), "city", "county")
 
 
 def _answers(cat: Catalog, asked: DataFrame, pick: str) -> DataFrame:
@@ -165,9 +163,10 @@ def answer_items(cat: Catalog, lines: DataFrame, pick: str = "best_rank") -> Dat
     Columns: query, city, county, supermarket_id, product_id, store_id, price,
     alt_product_id, alt_store_id, alt_price.
     """
-    asked = _asked(lines)
-    answered = _answers(cat, asked, pick).select("query_id.*", "supermarket_id", "product_id",
-                                                 "store_id", "price")
+    answered = _answers(cat, _asked(lines), pick).select(
+        "query_id.*", "supermarket_id", "product_id", "store_id", "price"
+    )
+    answered = materialize(answered, "answers")
     keys = [*_WANT, "supermarket_id"]
     alts = alternatives(cat, answered.filter(F.col("product_id").isNull()).select(*keys))
     a = alts.select(

@@ -26,6 +26,7 @@ from shelfwise.functions.text import (
     tokens_of,
 )
 from shelfwise.schemas import NATIONAL
+from shelfwise.session import materialize
 from shelfwise.sources.snapshot import Catalog
 
 #: longest word beginning indexed for prefix search; longer ones are checked after the join
@@ -349,6 +350,7 @@ def best_per_chain(
             {"strict": F.lit(strict), "prefix": F.lit(prefix)}
         )
     )
+    q = materialize(q, "queries")
     null = F.lit(None).cast("string")
     places = (
         q.select(F.lit(False).alias("is_national"), F.col("city").alias("in_city"),
@@ -395,6 +397,8 @@ def best_per_chain(
         .groupBy(*name_keys)
         .agg(F.min(F.struct("price", "product_id", "store_id")).alias("offer"))
     )
+    if not strict:
+        reduced = materialize(reduced, "offers")  # read by name and by category
 
     def ranked(rank: Column) -> Column:
         order = [rank.alias("match_rank"), F.col("offer.price").alias("price")]

@@ -412,3 +412,305 @@ def basket_assembly() -> str:
     return f"""
 WITH {BASKETS}
 SELECT basket_id, CAST(count(*) AS BIGINT) AS n_lines, sum(qty) AS item_total FROM lines GROUP BY basket_id"""
+
+
+# ---------------------------------------------------------------- merge
+
+#: first day of the second batch
+SECOND_BATCH = "1998-06-01"
+
+SAVED_ROWS = f"""
+slugs AS (
+  SELECT CAST(n_nationkey + 1 AS BIGINT) AS chain_id, lower(replace(n_name, '_', '-')) AS slug,
+         row_number() OVER (ORDER BY lower(replace(n_name, '_', '-'))) AS supermarket_id FROM nation
+), rows_in AS (
+  SELECT slug, supermarket_id, CAST(part AS VARCHAR) AS external_id,
+         CASE WHEN l_shipdate < DATE '{SECOND_BATCH}' THEN 1 ELSE 2 END AS batch,
+         CAST(day AS BIGINT) * 281474976710656 + l_orderkey * 16 + l_linenumber AS seq,
+         {PART_NAME} || CASE WHEN l_linestatus = 'O' THEN ' promo' ELSE '' END AS name,
+         CASE WHEN l_linenumber % 3 <> 0 THEN p_brand END AS brand, p_type AS raw_category,
+         CASE WHEN l_linenumber % 2 <> 0 THEN CAST(p_size AS VARCHAR) || ' g' END AS unit_size,
+         CASE WHEN l_linenumber % 2 <> 0 THEN {round3('p_size * 0.001::DOUBLE')} END AS quantity,
+         CASE WHEN store_id = 0 THEN '0' ELSE CAST(store_id - 1 AS VARCHAR) END AS store_ref, price
+  FROM feed JOIN slugs USING (chain_id) JOIN part ON part = p_partkey
+)"""
+
+
+def save_products() -> str:
+    return f"""
+WITH {FEED}, {SAVED_ROWS}, folded AS (
+  SELECT slug, supermarket_id, external_id, arg_max(name, seq) AS name,
+         arg_max(CASE WHEN brand IS NULL THEN {norm('name')} ELSE {norm('brand')} || ' ' || {norm('name')} END, seq) AS normalized_name,
+         arg_max(coalesce({rule_case(norm('raw_category'))}, {category_of(norm('name'))}), seq) AS category,
+         arg_max(brand, seq) FILTER (brand IS NOT NULL) AS brand,
+         arg_max(unit_size, seq) FILTER (unit_size IS NOT NULL) AS unit_size,
+         arg_max(quantity, seq) FILTER (quantity IS NOT NULL) AS quantity, min(seq) AS first_seq
+  FROM rows_in GROUP BY ALL
+)
+SELECT row_number() OVER (ORDER BY first_seq, supermarket_id, external_id) AS id, slug, external_id, name,
+       normalized_name, category, brand, unit_size, quantity
+FROM folded"""
+
+
+def save_prices() -> str:
+    return f"""
+WITH {FEED}, {SAVED_ROWS}
+SELECT slug, external_id, store_ref, max(batch) AS batch, arg_max(price, seq) AS price,
+       arg_max(CASE WHEN quantity IS NULL THEN NULL ELSE {{'v': {round2('price / quantity')}}} END, seq).v AS price_per_unit
+FROM rows_in GROUP BY slug, external_id, store_ref"""
+
+
+def price_history() -> str:
+    return f"""
+WITH {FEED}, {SAVED_ROWS}, walked AS (
+  SELECT *, lag(price) OVER (PARTITION BY slug, external_id, store_ref ORDER BY seq) AS previous FROM rows_in
+)
+SELECT slug, external_id, store_ref, batch, price FROM walked
+WHERE previous IS NULL OR abs(previous - price) > 0.001"""
+
+
+# ---------------------------------------------------------------- edits and reports
+
+
+def patch_products() -> str:
+    """Every tenth part gets a new name and brand, every seventh a new size and price."""
+    renamed = "(id % 10 = 3)"
+    priced = "(id % 7 = 2)"
+    return f"""
+WITH {VIEWS}, {EDITED_SIZES}
+SELECT p.id, CASE WHEN {renamed} THEN 'Ediție ' || p.name ELSE p.name END AS name,
+       CASE WHEN {renamed} THEN 'acme edit ' || {norm('p.name')} ELSE normalized_name END AS normalized_name,
+       CASE WHEN {renamed} THEN 'Acme' ELSE brand END AS brand,
+       CASE WHEN {priced} THEN new_size ELSE unit_size END AS unit_size,
+       CASE WHEN {priced} THEN new_quantity ELSE quantity END AS quantity,
+       CASE WHEN {priced} THEN 5.5 ELSE r.price END AS national_price,
+       CASE WHEN {priced} THEN {round2('5.5 / new_quantity')} ELSE {round2('r.price / quantity')} END AS national_unit_price,
+       CAST(CASE WHEN {priced} THEN 1 ELSE 0 END AS BIGINT) AS logged
+FROM products p JOIN sizes ON sizes.id2 = p.id
+LEFT JOIN prices r ON r.product_id = p.id AND r.store_id = 0""".replace("edit ' || ", "editie ' || ")
+
+
+EDITED_SIZES = f"""sizes AS (
+  SELECT id AS id2, CAST(id % 4 + 1 AS VARCHAR) || ' kg' AS new_size, CAST(id % 4 + 1 AS DOUBLE) AS new_quantity FROM products
+)"""
+
+
+def create_products() -> str:
+    """One product per distinct part name in the first chain."""
+    return f"""
+WITH made AS (
+  SELECT p_name || ' nou' AS name, min(p_retailprice) AS price FROM part GROUP BY p_name
+)
+SELECT 'admin-' || replace({norm('name')}, ' ', '-') AS external_id, name, {norm('name')} AS normalized_name,
+       {category_of(norm('name'))} AS category, 1.0::DOUBLE AS quantity, 'l' AS unit, price, price AS price_per_unit
+FROM made"""
+
+
+def delete_products() -> str:
+    return f"""
+WITH {VIEWS}
+SELECT (SELECT count(*) FROM products WHERE id % 3 <> 0) AS products,
+       (SELECT count(*) FROM prices WHERE product_id % 3 <> 0) AS prices,
+       (SELECT round(sum(price * 100)) FROM prices WHERE product_id % 3 <> 0) AS price_sum"""
+
+
+def recompute_categories() -> str:
+    """Stored categories start as 'altele' for every part not divisible by four."""
+    return f"""
+WITH {VIEWS}
+SELECT count(*) FILTER (WHERE (part_no % 4 <> 0 AND category <> 'altele')) AS changed, count(*) AS products
+FROM (SELECT *, CAST(external_id AS BIGINT) AS part_no FROM products)"""
+
+
+def meta_counts() -> str:
+    return f"""
+WITH {VIEWS}
+SELECT 'supermarket' AS kind, slug AS value, count(p.id) AS n FROM chains LEFT JOIN products p ON p.supermarket_id = chains.id GROUP BY slug
+UNION ALL SELECT DISTINCT 'city', city, 1 FROM stores
+UNION ALL SELECT DISTINCT 'county', county, 1 FROM stores WHERE county IS NOT NULL
+UNION ALL SELECT 'last_update', strftime(max(updated_at), '%Y-%m-%d'), 1 FROM prices"""
+
+
+def admin_page() -> str:
+    return f"""
+WITH {VIEWS}
+SELECT p.id, p.name, p.brand, p.category, p.unit_size, c.name AS supermarket,
+       (SELECT min(price) FROM prices WHERE product_id = p.id) AS price,
+       (SELECT max(updated_at) FROM prices WHERE product_id = p.id) AS updated_at
+FROM products p JOIN chains c ON c.id = p.supermarket_id
+WHERE normalized_name LIKE '%ring lap%' ORDER BY p.id DESC LIMIT 50 OFFSET 10"""
+
+
+def supermarket_report() -> str:
+    return f"""
+WITH {VIEWS}
+SELECT c.id, c.slug, c.name, count(DISTINCT p.id) AS products, count(DISTINCT st.id) AS stores, count(DISTINCT st.city) AS cities
+FROM chains c LEFT JOIN (SELECT id, supermarket_id FROM products) p ON p.supermarket_id = c.id
+LEFT JOIN stores st ON st.supermarket_id = c.id GROUP BY c.id, c.slug, c.name"""
+
+
+def last_runs() -> str:
+    return """
+SELECT event_id + 1 AS id, event_type AS supermarket, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status,
+       CAST(floor(value) AS BIGINT) AS products_found, props AS message
+FROM events ORDER BY id DESC LIMIT 10"""
+
+
+def quality_gate() -> str:
+    return f"""
+WITH {FEED}, extracted AS (
+  SELECT chain_id, count(*) AS extracted FROM feed GROUP BY chain_id
+), floors AS (
+  SELECT CAST(n_nationkey + 1 AS BIGINT) AS chain_id, lower(replace(n_name, '_', '-')) AS supermarket_slug,
+         (SELECT count(*) // 25 FROM lineitem) - 60 + n_nationkey * 5 AS min_products,
+         list_transform(range(n_nationkey % 7), lambda i: 'w' || i) AS warnings
+  FROM nation
+), judged AS (
+  SELECT *, coalesce(extracted, 0) AS n, coalesce(extracted, 0) >= greatest(min_products, 1) AS ok
+  FROM floors LEFT JOIN extracted USING (chain_id)
+)
+SELECT supermarket_slug, n AS extracted, CASE WHEN ok THEN 'ok' ELSE 'error' END AS status,
+       CASE WHEN ok THEN nullif(array_to_string(warnings[1:5], ' | '), '')
+            ELSE 'doar ' || n || ' produse extrase (minim așteptat: ' || min_products || ') — rulare incompletă, prețurile existente rămân neatinse. '
+                 || array_to_string(warnings[1:3], ' | ') END AS message,
+       CASE WHEN ok THEN n ELSE 0 END AS passed
+FROM judged"""
+
+
+def import_summary() -> str:
+    return f"""
+WITH {FEED}, {SAVED_ROWS}
+SELECT slug AS supermarket_slug, count(*) AS products FROM rows_in GROUP BY ROLLUP (slug)"""
+
+
+# ---------------------------------------------------------------- feeds
+
+
+def representative_store() -> str:
+    return f"""
+WITH s AS (
+  SELECT 'RO' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS n, c_name AS cn, {county_of(postal_code('c_custkey'))} AS county FROM customer
+)
+SELECT n, cn, county FROM s WHERE county IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY county ORDER BY n) = 1"""
+
+
+def offer_availability() -> str:
+    return """
+WITH listed AS (
+  SELECT DISTINCT l_partkey, 'S' || lpad(CAST(l_suppkey AS VARCHAR), 12, '0') AS store_n FROM lineitem WHERE l_returnflag = 'R'
+)
+SELECT CAST(p_partkey AS VARCHAR) AS kl_nr, string_agg(store_n, ',' ORDER BY store_n) AS stores
+FROM part LEFT JOIN listed ON l_partkey = p_partkey GROUP BY p_partkey"""
+
+
+def csv_roundtrip() -> str:
+    return """
+SELECT CAST(p_partkey AS VARCHAR) AS external_id, p_name || ', "' || p_brand || '"' || chr(10) || 'x' AS name, p_brand AS brand,
+       p_type AS raw_category, CAST(p_size AS VARCHAR) || ' g' AS unit_size_text, p_retailprice AS price,
+       CASE WHEN p_partkey % 2 = 0 THEN p_retailprice + 1 END AS old_price,
+       'harvester-cluj-napoca' AS store
+FROM part"""
+
+
+def feed_lidl() -> str:
+    return """
+SELECT CASE p_partkey % 3 WHEN 0 THEN CAST(p_partkey AS VARCHAR) WHEN 1 THEN 'E' || p_partkey ELSE 'C' || p_partkey END AS external_id,
+       p_name AS name, CASE WHEN p_partkey % 4 <> 0 THEN p_brand END AS brand, p_type AS raw_category,
+       p_size || ' g' AS unit_size_text, p_retailprice AS price,
+       CASE WHEN p_partkey % 2 = 0 THEN p_retailprice + 1 END AS old_price, 'RON' AS currency,
+       'https://www.lidl.ro/p/' || p_partkey AS url,
+       strftime(TIMESTAMP '1970-01-01' + to_seconds(1700000000 + p_partkey * 3600), '%Y-%m-%d') AS valid_from
+FROM part WHERE p_partkey % 7 > 1"""
+
+
+def feed_auchan() -> str:
+    return """
+SELECT 'A' || p_partkey AS external_id, p_name AS name, p_brand AS brand, p_type AS raw_category,
+       CASE p_partkey % 3 WHEN 0 THEN p_name ELSE
+            CASE WHEN p_size % 10 = 0 THEN CAST(p_size // 10 AS VARCHAR) ELSE CAST(p_size / 10.0 AS VARCHAR) END || ' kg' END AS unit_size_text,
+       p_retailprice AS price, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice + 5 END AS old_price,
+       'https://www.auchan.ro/l' || p_partkey || '/p' AS url
+FROM part WHERE p_partkey % 7 > 0"""
+
+
+def feed_penny() -> str:
+    return """
+SELECT CASE WHEN p_partkey % 2 = 0 THEN 'S' || p_partkey ELSE 'P' || p_partkey END AS external_id,
+       array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS name,
+       CASE WHEN p_partkey % 5 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE 1 END || ' kg' ELSE p_size || ' buc' END AS unit_size_text,
+       (p_size * 100 + 99) / 100.0::DOUBLE AS price,
+       CASE WHEN p_partkey % 3 = 0 THEN (p_size * 10) / 100.0::DOUBLE END AS unit_price,
+       CASE WHEN p_partkey % 3 = 0 THEN 'l' END AS per_unit
+FROM part WHERE p_partkey % 11 <> 0"""
+
+
+def feed_kaufland() -> str:
+    return f"""
+SELECT CASE WHEN p_partkey % 2 = 0 THEN 'K' || p_partkey ELSE 'O' || p_partkey END AS external_id,
+       CASE WHEN p_partkey % 2 = 0 THEN 'K' || p_partkey ELSE '' END AS kl_nr,
+       CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_brand || ' ' || p_name || ' ' || p_size || ' G' END AS name,
+       p_type AS raw_category,
+       nullif(CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name || ' ' || p_size || ' G bax' END, '') AS unit_size_text,
+       p_retailprice AS price,
+       {round2('p_retailprice / (p_size * 0.001::DOUBLE)')} AS unit_price, 'kg' AS per_unit
+FROM part"""
+
+
+def jsonld_products() -> str:
+    return """
+SELECT p_partkey AS page_id, 'L' || p_partkey AS external_id, p_name || ' ' || p_size || ' g' AS name, p_brand AS brand,
+       p_retailprice AS price, p_size || ' g' AS unit_size, 'https://cdn.example.com/' || p_partkey || '.png' AS image_url
+FROM part"""
+
+
+def json_arrays() -> str:
+    return f"""
+SELECT p_partkey // 50 AS body_id, 'J' || p_partkey AS external_id, p_name AS name, p_brand AS brand,
+       {round2('p_retailprice')} AS price, 'https://shop.example.com/p/' || p_partkey AS url
+FROM part"""
+
+
+def dom_cards() -> str:
+    return """
+SELECT DISTINCT p_partkey // 40 AS page_id, p_name || ' ' || p_brand AS name, p_size + 0.99::DOUBLE AS price FROM part"""
+
+
+def merge_sources() -> str:
+    return """
+SELECT CAST(p_partkey AS VARCHAR) AS product_key, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 1 END AS source_rank,
+       CASE WHEN p_partkey % 2 = 0 THEN p_retailprice ELSE p_retailprice + 1 END AS price
+FROM part"""
+
+
+def page_links() -> str:
+    return r"""
+WITH p AS (
+  SELECT page_id, html, lower(regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1)) AS origin FROM pages
+), h AS (
+  SELECT page_id, origin, unnest(regexp_extract_all(html, 'href="(https?://[^"]+|/[^"]+)"', 1)) AS href,
+         generate_subscripts(regexp_extract_all(html, 'href="(https?://[^"]+|/[^"]+)"', 1), 1) AS pos
+  FROM p
+), a AS (
+  SELECT page_id, origin, pos, regexp_replace(CASE WHEN href[1] = '/' THEN origin || href ELSE href END, '#.*$', '') AS link FROM h
+), o AS (
+  SELECT *, lower(regexp_extract(link, '^([a-zA-Z]+://[^/?#]+)', 1)) AS own FROM a
+), e AS (
+  SELECT page_id, origin, pos, own || array_to_string(list_transform(string_split(CASE WHEN substr(link, length(own) + 1, 1) = '/' THEN substr(link, length(own) + 1) ELSE '/' || substr(link, length(own) + 1) END, ''),
+         lambda c: CASE WHEN regexp_matches(c, '^[!$-;=?-_a-z|~%]$') THEN c ELSE url_encode(c) END), '') AS link
+  FROM o WHERE own = origin
+), d AS (
+  SELECT origin AS site, link, min((page_id, pos)) AS at FROM e
+  WHERE regexp_matches(regexp_extract(link, '^[^/]*//[^/?]*([^?]*)', 1), '(?i)/[a-s]')
+    AND NOT regexp_matches(link, '(?i)\.(pdf|jpg|png|webp|css|js)(\?|$)')
+  GROUP BY ALL
+)
+SELECT site, link, row_number() OVER (PARTITION BY site ORDER BY at) AS link_no FROM d QUALIFY link_no <= 12"""
+
+
+def stream_ingest() -> str:
+    return f"""
+WITH {VIEWS}
+SELECT c.slug, p.external_id, CASE WHEN r.store_id = 0 THEN '0' ELSE s.external_id END AS store_ref, r.price
+FROM prices r JOIN products p ON p.id = r.product_id JOIN chains c ON c.id = p.supermarket_id
+LEFT JOIN stores s ON s.id = r.store_id"""

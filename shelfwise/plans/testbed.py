@@ -23,7 +23,8 @@ from shelfwise.functions.numbers import round_half_up
 from shelfwise.functions.text import build_normalized_name
 from shelfwise.functions.units import parse_unit_size, price_per_unit
 from shelfwise.schemas import NATIONAL
-from shelfwise.sources.snapshot import Catalog, empty_catalog
+from shelfwise.session import new_shared_path
+from shelfwise.sources.snapshot import Catalog, empty_catalog, read_snapshot, write_snapshot
 
 # Everyday grocery search terms.
 GROCERY_TERMS = (
@@ -181,13 +182,25 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_snapshots: dict[tuple[str, str], str] = {}
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    return empty_catalog(spark).with_tables(
-        supermarkets=supermarkets(spark, sf_dir),
-        stores=stores(spark, sf_dir),
-        products=products(spark, sf_dir),
-        prices=prices(spark, sf_dir),
-    )
+    """The catalogue as a Parquet snapshot, derived from the whole tables once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _snapshots:
+        root = new_shared_path(spark, "catalog")
+        write_snapshot(
+            empty_catalog(spark).with_tables(
+                supermarkets=supermarkets(spark, sf_dir),
+                stores=stores(spark, sf_dir),
+                products=products(spark, sf_dir),
+                prices=prices(spark, sf_dir),
+            ),
+            root,
+        )
+        _snapshots[key] = root
+    return read_snapshot(spark, _snapshots[key])
 
 
 def basket_events(spark: SparkSession, sf_dir: str) -> DataFrame:

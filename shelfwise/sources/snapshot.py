@@ -33,43 +33,49 @@ def empty_catalog(spark: SparkSession) -> Catalog:
 
 
 _POINTER = "_versions"
+_POINTER_SCHEMA = "number bigint, version string, batch_id bigint"
 
 
-def write_snapshot(catalog: Catalog, root: str) -> str:
+def write_snapshot(catalog: Catalog, root: str, batch_id: int | None = None) -> str:
     """Write every table under a new version; the pointer row is published last.
 
     Readers follow the pointer, so a job that dies half-way leaves the previous
-    version in force, and the version being read is never overwritten.
+    version in force, and the version being read is never overwritten. The
+    pointer row also names the stream batch it holds, if any.
     """
     spark = catalog.spark
     version = uuid.uuid4().hex
     for f in fields(Catalog):
         getattr(catalog, f.name).write.parquet(f"{root}/{version}/{f.name}")
-    number = current_version(spark, root)[0] + 1
-    pointer = spark.range(1).select(
-        F.lit(number).cast("bigint").alias("number"), F.lit(version).alias("version")
-    )
+    number = 1 + max((row["number"] for row in _top(spark, root)), default=0)
+    pointer = spark.createDataFrame([(number, version, batch_id)], _POINTER_SCHEMA)
     pointer.coalesce(1).write.mode("append").parquet(f"{root}/{_POINTER}")
     return version
 
 
-def current_version(spark: SparkSession, root: str) -> tuple[int, str | None]:
+def _pointers(spark: SparkSession, root: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{_POINTER}")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return 0, None
-    top = (
-        spark.read.schema("number bigint, version string")
-        .parquet(f"{root}/{_POINTER}")
-        .agg(F.max(F.struct("number", "version")).alias("top"))
-        .first()["top"]
-    )
-    return (top["number"], top["version"]) if top else (0, None)
+        return spark.createDataFrame([], _POINTER_SCHEMA)
+    return spark.read.schema(_POINTER_SCHEMA).parquet(f"{root}/{_POINTER}")
+
+
+def _top(spark: SparkSession, root: str) -> list:
+    return _pointers(spark, root).orderBy(F.desc("number")).limit(1).collect()
+
+
+def last_batch(spark: SparkSession, root: str) -> int:
+    """Highest stream batch published so far, -1 for none."""
+    top = _pointers(spark, root).agg(F.max("batch_id").alias("b")).first()["b"]
+    return -1 if top is None else top
 
 
 def read_snapshot(spark: SparkSession, root: str, version: str | None = None) -> Catalog:
-    version = version or current_version(spark, root)[1]
     if version is None:
-        return empty_catalog(spark)
+        top = _top(spark, root)
+        if not top:
+            return empty_catalog(spark)
+        version = top[0]["version"]
     return Catalog(
         **{
             name: spark.read.schema(schema).parquet(f"{root}/{version}/{name}")
