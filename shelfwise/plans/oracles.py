@@ -431,7 +431,7 @@ slugs AS (
          CASE WHEN l_linenumber % 3 <> 0 THEN p_brand END AS brand, p_type AS raw_category,
          CASE WHEN l_linenumber % 2 <> 0 THEN CAST(p_size AS VARCHAR) || ' g' END AS unit_size,
          CASE WHEN l_linenumber % 2 <> 0 THEN {round3('p_size * 0.001::DOUBLE')} END AS quantity,
-         CASE WHEN store_id = 0 THEN '0' ELSE CAST(store_id - 1 AS VARCHAR) END AS store_ref, price
+         CASE WHEN store_id = 0 THEN 'national' ELSE CAST(store_id - 1 AS VARCHAR) END AS store_ref, price
   FROM feed JOIN slugs USING (chain_id) JOIN part ON part = p_partkey
 )"""
 
@@ -456,7 +456,7 @@ def save_prices() -> str:
     return f"""
 WITH {FEED}, {SAVED_ROWS}
 SELECT slug, external_id, store_ref, max(batch) AS batch, arg_max(price, seq) AS price,
-       arg_max(CASE WHEN quantity IS NULL THEN NULL ELSE {{'v': {round2('price / quantity')}}} END, seq).v AS price_per_unit
+       arg_max({{'v': {round2('price / quantity')}}}, seq).v AS price_per_unit
 FROM rows_in GROUP BY slug, external_id, store_ref"""
 
 
@@ -700,17 +700,17 @@ WITH p AS (
          lambda c: CASE WHEN regexp_matches(c, '^[!$-;=?-_a-z|~%]$') THEN c ELSE url_encode(c) END), '') AS link
   FROM o WHERE own = origin
 ), d AS (
-  SELECT origin AS site, link, min((page_id, pos)) AS at FROM e
+  SELECT origin AS site, link, min((page_id, pos)) AS found_at FROM e
   WHERE regexp_matches(regexp_extract(link, '^[^/]*//[^/?]*([^?]*)', 1), '(?i)/[a-s]')
     AND NOT regexp_matches(link, '(?i)\.(pdf|jpg|png|webp|css|js)(\?|$)')
   GROUP BY ALL
 )
-SELECT site, link, row_number() OVER (PARTITION BY site ORDER BY at) AS link_no FROM d QUALIFY link_no <= 12"""
+SELECT site, link, row_number() OVER (PARTITION BY site ORDER BY found_at) AS link_no FROM d QUALIFY link_no <= 12"""
 
 
 def stream_ingest() -> str:
     return f"""
 WITH {VIEWS}
-SELECT c.slug, p.external_id, CASE WHEN r.store_id = 0 THEN '0' ELSE s.external_id END AS store_ref, r.price
+SELECT c.slug, p.external_id, CASE WHEN r.store_id = 0 THEN 'national' ELSE s.external_id END AS store_ref, r.price
 FROM prices r JOIN products p ON p.id = r.product_id JOIN chains c ON c.id = p.supermarket_id
 LEFT JOIN stores s ON s.id = r.store_id"""

@@ -299,7 +299,7 @@ def _by_store(cat: Catalog, rows: DataFrame) -> DataFrame:
     return (
         rows.join(products, "product_id")
         .join(stores, "store_id", "left")
-        .withColumn("store_ref", F.coalesce("ref", F.lit("0")))
+        .withColumn("store_ref", F.coalesce("ref", F.lit("national")))
     )
 
 
