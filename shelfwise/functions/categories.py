@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from shelfwise.functions.text import normalize_text
+from shelfwise.functions.text import bind, normalize_text
 
 # Category slug -> label.
 CATEGORIES = {
@@ -50,17 +52,37 @@ CATEGORY_RULES = [
 ]
 
 
+def _literal_cores(pattern: str) -> list[str]:
+    """For each alternative of a rule, a plain text that any match contains."""
+    alternatives = re.split(r"\|(?![^(]*\))", pattern)
+    return [
+        max(re.split(r"\\b|.\?|\(.*?\)|\[.*?\]", a), key=len) for a in alternatives
+    ]
+
+
+def _matches(normalized: Column, pattern: str) -> Column:
+    """``rlike``, tried only on texts that hold one of the rule's plain texts.
+
+    Substring tests are many times cheaper than a regex scan and reject most texts.
+    """
+    possible = None
+    for core in _literal_cores(pattern):
+        hit = F.contains(normalized, F.lit(core))
+        possible = hit if possible is None else possible | hit
+    return F.when(possible, F.rlike(normalized, F.lit(pattern))).otherwise(F.lit(False))
+
+
 def _by_rule(normalized: Column) -> Column:
-    pattern, slug = CATEGORY_RULES[0]
-    out = F.when(F.rlike(normalized, F.lit(pattern)), F.lit(slug))
-    for pattern, slug in CATEGORY_RULES[1:]:
-        out = out.when(F.rlike(normalized, F.lit(pattern)), F.lit(slug))
+    out = None
+    for pattern, slug in CATEGORY_RULES:
+        hit = _matches(normalized, pattern)
+        out = F.when(hit, F.lit(slug)) if out is None else out.when(hit, F.lit(slug))
     return out
 
 
 def category_of_normalized(raw_norm: Column | None, name_norm: Column) -> Column:
-    parts = [] if raw_norm is None else [_by_rule(raw_norm)]
-    return F.coalesce(*parts, _by_rule(name_norm), F.lit(FALLBACK))
+    parts = [] if raw_norm is None else [bind(raw_norm, _by_rule)]
+    return F.coalesce(*parts, bind(name_norm, _by_rule), F.lit(FALLBACK))
 
 
 def map_category(raw: Column | None, name: Column) -> Column:

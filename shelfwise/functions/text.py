@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -42,6 +43,15 @@ def fold_table() -> tuple[str, str]:
     return "".join(src + marks), "".join(dst)
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it.
+
+    A long expression that repeats a costly input would otherwise compute it
+    again in every branch, and outgrow what Spark can compile.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_text(c: Column, disallowed: str = DISALLOWED_RUN) -> Column:
     """Accent-free lower case; every run outside the allowed set becomes one space."""
     src, dst = fold_table()
@@ -92,9 +102,14 @@ def blank_to_null(c: Column) -> Column:
 
 def build_normalized_name(name: Column, brand: Column) -> Column:
     """Search name: the brand goes first unless the name already contains it."""
-    n = normalize_text(name)
-    b = normalize_text(brand)
-    return F.when((b != "") & ~F.contains(n, b), F.concat_ws(" ", b, n)).otherwise(n)
+
+    def joined(both: Column) -> Column:
+        n, b = both["n"], both["b"]
+        return F.when((b != "") & ~F.contains(n, b), F.concat_ws(" ", b, n)).otherwise(n)
+
+    return bind(
+        F.struct(normalize_text(name).alias("n"), normalize_text(brand).alias("b")), joined
+    )
 
 
 def display_label(name: Column, brand: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from shelfwise.functions.numbers import round_half_up
-from shelfwise.functions.text import blank_to_null, normalize_text
+from shelfwise.functions.text import bind, blank_to_null, normalize_text
 
 # Unit word -> (base unit, factor).
 UNIT_WORDS = {
@@ -65,33 +65,40 @@ def unit_factor(word: Column) -> Column:
     return _by_word(word, 1)
 
 
-def parse_unit_size(text: Column) -> Column:
-    """Pack text -> struct(quantity in the base unit, unit); NULL when not recognised."""
-    t = normalize_text(text)
+def pack_text(normalized: Column) -> Column:
+    """The part of a normalised text that states a pack size: ``6x1,5l``, ``500g`` or ``buc``."""
+    return bind(
+        normalized,
+        lambda t: F.coalesce(
+            *[blank_to_null(F.regexp_extract(t, p, 0)) for p in (MULTIPACK, SINGLE, PIECE)]
+        ),
+    )
 
-    def parsed(quantity: Column, word: Column) -> Column:
-        return F.struct(
-            round_half_up(quantity, 3).alias("quantity"), base_unit(word).alias("unit")
-        )
 
-    pack = F.regexp_extract(t, MULTIPACK, 0)
-    pack_word = F.regexp_extract(pack, MULTIPACK, 3)
-    pack_quantity = (
-        F.regexp_extract(pack, MULTIPACK, 1).try_cast("double")
-        * _number(F.regexp_extract(pack, MULTIPACK, 2))
-        * unit_factor(pack_word)
-    )
-    one = F.regexp_extract(t, SINGLE, 0)
-    one_word = F.regexp_extract(one, SINGLE, 2)
-    one_quantity = _number(F.regexp_extract(one, SINGLE, 1)) * unit_factor(one_word)
-    piece = F.struct(F.lit(1.0).alias("quantity"), F.lit("buc").alias("unit"))
-    return (
-        F.when(pack != "", parsed(pack_quantity, pack_word))
-        .when(one != "", parsed(one_quantity, one_word))
-        .when(F.rlike(t, F.lit(PIECE)), piece)
+def size_of_pack(pack: Column) -> Column:
+    """struct(quantity in the base unit, unit) of a :func:`pack_text`."""
+    return bind(pack, _size)
+
+
+def _size(pack: Column) -> Column:
+    word = F.regexp_extract(pack, "([a-z]+)$", 1)
+    times = F.regexp_extract(pack, r"^(\d+)\s*x", 1).try_cast("double")
+    number = _number(F.regexp_extract(pack, rf"^(?:\d+\s*x\s*)?{NUMBER}", 1))
+    # "buc" alone is one piece
+    quantity = F.coalesce(
+        F.when(times.isNotNull(), times * number).otherwise(number), F.lit(1.0)
+    ) * unit_factor(word)
+    return F.when(
+        pack.isNotNull(),
+        F.struct(round_half_up(quantity, 3).alias("quantity"), base_unit(word).alias("unit")),
     )
 
 
+def parse_unit_size(text: Column) -> Column:
+    """Pack text -> struct(quantity in the base unit, unit); NULL when not recognised."""
+    return size_of_pack(pack_text(normalize_text(text)))
+
+
 def price_per_unit(price: Column, parsed: Column) -> Column:
     """Unit price as struct(value, unit); NULL without a positive quantity."""
     quantity = parsed.getField("quantity")
@@ -113,17 +120,20 @@ def parse_base_price(text: Column, reference_compat: bool = False) -> Column:
     """
     if reference_compat:
         return F.lit(None).cast("struct<value:double,unit:string>")
-    t = normalize_text(text, r"[^a-z0-9%,./+=-]+")
-    m = F.regexp_extract(t, BASE_PRICE, 0)
-    word = F.regexp_extract(m, BASE_PRICE, 2)
-    quantity = _number(F.regexp_extract(m, BASE_PRICE, 1)) * unit_factor(word)
-    return F.when(
-        quantity > 0,
-        F.struct(
-            round_half_up(_number(F.regexp_extract(m, BASE_PRICE, 3)) / quantity, 2).alias("value"),
-            base_unit(word).alias("unit"),
-        ),
-    )
+    stated = F.regexp_extract(normalize_text(text, r"[^a-z0-9%,./+=-]+"), BASE_PRICE, 0)
+
+    def per_base_unit(m: Column) -> Column:
+        word = F.regexp_extract(m, BASE_PRICE, 2)
+        quantity = _number(F.regexp_extract(m, BASE_PRICE, 1)) * unit_factor(word)
+        price = _number(F.regexp_extract(m, BASE_PRICE, 3))
+        return F.when(
+            quantity > 0,
+            F.struct(
+                round_half_up(price / quantity, 2).alias("value"), base_unit(word).alias("unit")
+            ),
+        )
+
+    return bind(stated, per_base_unit)
 
 
 def unit_from_name(name: Column) -> Column:

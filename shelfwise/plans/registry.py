@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.functions.categories import map_category
+from shelfwise.functions.categories import category_of_normalized
 from shelfwise.functions.geo import county_from_postal_code, resolve_county
 from shelfwise.functions.text import normalize_text, origin_of, tokens_of
 from shelfwise.functions.units import parse_unit_size, price_per_unit
@@ -18,7 +18,7 @@ from shelfwise.operators.search import search
 from shelfwise.operators.upsert import save
 from shelfwise.plans import oracles, testbed
 from shelfwise.plans.testbed import CITIES, GROCERY_TERMS, pick, postal_code, table
-from shelfwise.session import new_shared_path
+from shelfwise.session import new_shared_path, spread
 from shelfwise.sources import cards, feeds, json_bodies, jsonld, links
 from shelfwise.sources import catalogue_csv as csv
 from shelfwise.sources import merge_sources as merge
@@ -51,7 +51,7 @@ def longs(df: DataFrame, *names: str) -> DataFrame:
 
 @register("normalize_documents", oracles.normalize_documents())
 def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", normalize_text(F.col("text")).alias("normalized")
     )
     return docs.withColumn(
@@ -61,8 +61,10 @@ def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("categorize_documents", oracles.categorize_documents())
 def categorize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", map_category(None, F.col("text")).alias("category")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    normalized = docs.select("doc_id", normalize_text(F.col("text")).alias("normalized"))
+    return normalized.select(
+        "doc_id", category_of_normalized(None, F.col("normalized")).alias("category")
     )
 
 

@@ -23,7 +23,7 @@ from shelfwise.functions.numbers import round_half_up
 from shelfwise.functions.text import build_normalized_name
 from shelfwise.functions.units import parse_unit_size, price_per_unit
 from shelfwise.schemas import NATIONAL
-from shelfwise.session import new_shared_path
+from shelfwise.session import new_shared_path, spread
 from shelfwise.sources.snapshot import Catalog, empty_catalog, read_snapshot, write_snapshot
 
 # Everyday grocery search terms.
@@ -46,6 +46,10 @@ GROCERY_TERMS = (
 CITIES = [c.title() for c in CITY_COUNTY]
 
 FEED_EPOCH = "1990-01-01"
+FEED_COLUMNS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+    "l_returnflag", "l_linestatus", "l_shipdate",
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,7 +116,7 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feed(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Line items as price observations: seq, chain_id, part, store_id, price."""
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem").select(*FEED_COLUMNS))
     chain_of = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     return lines.join(chain_of, F.col("l_suppkey") == F.col("s_suppkey")).select(
         feed_seq().alias("seq"),
@@ -208,7 +212,7 @@ def basket_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Odd parts are asked for by their full name, even ones by the grocery term.
     """
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem").select(*FEED_COLUMNS))
     parts = table(spark, sf_dir, "part").select(
         "p_partkey",
         F.when(F.col("p_partkey") % 2 == 0, pick(GROCERY_TERMS, F.col("p_partkey")))

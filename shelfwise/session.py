@@ -21,6 +21,8 @@ def local_session(cpus: int | str = "*", app: str = "shelfwise") -> SparkSession
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.adaptive.enabled", "true")
+        # one task per core: small test data would otherwise be merged into one task
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SHELFWISE_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
@@ -55,6 +57,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute an input that arrives in fewer splits than there are cores.
+
+    Only small files do; a large table is left in its own splits.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only after counting; a larger side is left to Spark's shuffle joins."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
