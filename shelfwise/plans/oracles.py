@@ -714,3 +714,77 @@ WITH {VIEWS}
 SELECT c.slug, p.external_id, CASE WHEN r.store_id = 0 THEN 'national' ELSE s.external_id END AS store_ref, r.price
 FROM prices r JOIN products p ON p.id = r.product_id JOIN chains c ON c.id = p.supermarket_id
 LEFT JOIN stores s ON s.id = r.store_id"""
+
+
+# ---------------------------------------------------------------- further operators
+
+
+def category_browse() -> str:
+    return f"""
+WITH {VIEWS}, ranked AS (
+  SELECT p.category, p.id, r.store_id, r.price,
+         row_number() OVER (PARTITION BY p.category ORDER BY r.price, p.id, r.store_id) AS n
+  FROM products p JOIN prices r ON r.product_id = p.id LEFT JOIN stores s ON s.id = r.store_id
+  WHERE r.store_id = 0 OR s.county = 'Cluj'
+  QUALIFY n <= 500
+), firsts AS (
+  SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY category, id ORDER BY n) = 1
+)
+SELECT category, id AS product_id, store_id, price, row_number() OVER (PARTITION BY category ORDER BY n) AS hit_no
+FROM firsts QUALIFY hit_no <= 60"""
+
+
+def product_labels() -> str:
+    return f"""
+WITH {VIEWS}
+SELECT p.id, r.store_id, CASE WHEN contains(lower(name), lower(brand)) THEN name ELSE brand || ' ' || name END AS label,
+       CASE WHEN p.id % 3 = 2 THEN r.price + 1 END AS shown_old_price
+FROM products p JOIN prices r ON r.product_id = p.id"""
+
+
+def offers_csv() -> str:
+    return f"""
+SELECT CAST(p_partkey AS VARCHAR) AS external_id, p_name || ' ' || p_size || ' g' AS name, p_size || ' g' AS unit_size,
+       p_retailprice AS price, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice + 1 END AS old_price, p_type AS category
+FROM part"""
+
+
+def save_stores() -> str:
+    return f"""
+WITH slugs AS (
+  SELECT CAST(n_nationkey AS BIGINT) AS chain, lower(replace(n_name, '_', '-')) AS slug FROM nation
+)
+SELECT slug, CAST(s_suppkey AS VARCHAR) AS external_id, s_name || ' nou' AS name, {pick(CITIES, 's_suppkey + 1')} AS city,
+       coalesce({lookup(CITY_COUNTY, norm(pick(CITIES, 's_suppkey + 1')))}, {county_of(postal_code('s_suppkey'))}) AS county,
+       {postal_code('s_suppkey')} AS postal_code
+FROM supplier JOIN slugs ON chain = s_nationkey"""
+
+
+def run_log() -> str:
+    return f"""
+WITH {FEED}, valid AS (
+  SELECT chain_id, count(*) FILTER (WHERE price > 1000) AS saved, count(*) AS extracted FROM feed GROUP BY chain_id
+), judged AS (
+  SELECT lower(replace(n_name, '_', '-')) AS supermarket, coalesce(saved, 0) AS saved, coalesce(extracted, 0) AS extracted,
+         greatest(n_nationkey * 200, 1) AS floor_n
+  FROM nation LEFT JOIN valid ON chain_id = n_nationkey + 1
+)
+SELECT row_number() OVER (ORDER BY supermarket) AS id, supermarket,
+       CASE WHEN extracted >= floor_n THEN 'ok' ELSE 'error' END AS status,
+       CASE WHEN extracted >= floor_n THEN saved ELSE 0 END AS products_found
+FROM judged"""
+
+
+def store_gate() -> str:
+    return """
+WITH listed AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'A')
+SELECT count(*) AS stores, count(*) FILTER (WHERE l_suppkey IS NULL) AS failures,
+       count(*) FILTER (WHERE l_suppkey IS NULL) <= count(*) * 0.2 AS gate_ok
+FROM supplier LEFT JOIN listed ON l_suppkey = s_suppkey"""
+
+
+def runners_up() -> str:
+    return f"""
+WITH {VIEWS}, {BASKETS}, {FOUND}, {COMPARED}
+SELECT slug, chain_rank, count(*) AS baskets FROM chain_ranked WHERE found_count > 0 AND chain_rank > 3
+GROUP BY slug, chain_rank"""

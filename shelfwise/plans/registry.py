@@ -8,13 +8,15 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.functions.categories import category_of_normalized
+from shelfwise import schemas
+from shelfwise.functions.categories import CATEGORIES, category_of_normalized
 from shelfwise.functions.geo import county_from_postal_code, resolve_county
-from shelfwise.functions.text import normalize_text, origin_of, tokens_of
+from shelfwise.functions.numbers import discount_shown
+from shelfwise.functions.text import display_label, normalize_text, origin_of, tokens_of
 from shelfwise.functions.units import parse_unit_size, price_per_unit
 from shelfwise.operators import basket, gates, reports, upsert
 from shelfwise.operators import edits as edits_ops
-from shelfwise.operators.search import search
+from shelfwise.operators.search import search, search_hits
 from shelfwise.operators.upsert import save
 from shelfwise.plans import oracles, testbed
 from shelfwise.plans.testbed import CITIES, GROCERY_TERMS, pick, postal_code, table
@@ -23,6 +25,7 @@ from shelfwise.sources import cards, feeds, json_bodies, jsonld, links
 from shelfwise.sources import catalogue_csv as csv
 from shelfwise.sources import merge_sources as merge
 from shelfwise.sources import stores as stores_src
+from shelfwise.sources.offers_csv import read_offers_csv
 from shelfwise.sources.snapshot import Catalog, empty_catalog, read_snapshot
 from shelfwise.streaming.ingest import ingest_stream
 
@@ -881,3 +884,101 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     query.awaitTermination()
     live = read_snapshot(spark, root)
     return _by_store(live, live.prices).select("slug", "external_id", "store_ref", "price")
+
+
+# ---------------------------------------------------------------- further operators
+
+
+@register("category_browse", oracles.category_browse())
+def category_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = spark.createDataFrame(
+        [(slug, None, slug, "Cluj") for slug in CATEGORIES],
+        "query_id string, q string, category string, county string",
+    )
+    hits = search_hits(testbed.catalog(spark, sf_dir), queries)
+    return longs(hits, "hit_no").select(
+        F.col("query_id").alias("category"), "product_id", "store_id", "price", "hit_no"
+    )
+
+
+@register("product_labels", oracles.product_labels())
+def product_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = testbed.catalog(spark, sf_dir)
+    rows = cat.products.join(cat.prices, F.col("id") == F.col("product_id"))
+    old_price = F.col("price") + (F.col("id") % 3 - 1)
+    return rows.select(
+        "id",
+        "store_id",
+        display_label(F.col("name"), F.col("brand")).alias("label"),
+        discount_shown(F.col("price"), old_price).alias("shown_old_price"),
+    )
+
+
+@register("offers_csv", oracles.offers_csv())
+def offers_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("ID"),
+        F.concat_ws(" ", "p_name", testbed.unit_text(F.col("p_size"))).alias("Product_Name"),
+        F.replace(F.col("p_retailprice").cast("string"), F.lit("."), F.lit(",")).alias("New_Price"),
+        (F.col("p_retailprice") + F.when(F.col("p_partkey") % 2 == 0, 1).otherwise(-1)).alias("Old_Price"),
+        F.col("p_type").alias("Categorie"),
+    )
+    path = new_shared_path(spark, "offers")
+    parts.write.csv(path, header=True)
+    return read_offers_csv(spark, path).select(
+        "external_id", "name", "unit_size", "price", "old_price", "category"
+    )
+
+
+@register("save_stores", oracles.save_stores())
+def save_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores saved twice, the second time renamed, moved and without a postal code."""
+    chains, first, _ = feed_batches(spark, sf_dir)
+    key = F.col("external_id").cast("bigint")
+    second = first.withColumns(
+        {
+            "name": F.concat("name", F.lit(" nou")),
+            "city": pick(CITIES, key + 1),
+            "county": F.lit(None).cast("string"),
+            "postal_code": F.lit(None).cast("string"),
+        }
+    )
+    nothing = spark.createDataFrame([], schemas.PRODUCTS_IN)
+    cat = empty_catalog(spark)
+    for batch, as_of in zip([first, second], _BATCH_TIMES):
+        cat = save(cat, chains, batch, nothing, as_of).catalog
+    return cat.stores.join(_chain_slugs(cat), "supermarket_id").select(
+        "slug", "external_id", "name", "city", "county", "postal_code"
+    )
+
+
+@register("run_log", oracles.run_log())
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chains, _, lines = feed_batches(spark, sf_dir)
+    key = F.substring_index("supermarket_slug", "-", -1).cast("bigint")
+    runs = gates.check_runs(chains.select("supermarket_slug", (key * 200).alias("min_products")), lines)
+    saved = (
+        gates.passing(lines, runs)
+        .filter(F.col("price") > 1000)
+        .groupBy("supermarket_slug")
+        .agg(F.count("*").alias("products"))
+    )
+    log = gates.append_runs(empty_catalog(spark).scrape_runs, runs, saved, *_BATCH_TIMES)
+    return log.select("id", "supermarket", "status", "products_found")
+
+
+@register("store_gate", oracles.store_gate())
+def store_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    selected = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("store_n"))
+    lists = (
+        table(spark, sf_dir, "lineitem")
+        .filter((F.col("l_quantity") > 49) & (F.col("l_returnflag") == "A"))
+        .select(F.col("l_suppkey").alias("store_n"))
+    )
+    return gates.store_failures_ok(selected, lists)
+
+
+@register("runners_up", oracles.runners_up())
+def runners_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = basket.runners_up(basket_compare(spark, sf_dir))
+    return rest.groupBy("slug", "chain_rank").agg(F.count("*").alias("baskets"))
