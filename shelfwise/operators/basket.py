@@ -82,10 +82,11 @@ def _join_lines(lines: DataFrame, answers: DataFrame) -> DataFrame:
 def compare_baskets(cat: Catalog, lines: DataFrame, pick: str = "best_rank") -> DataFrame:
     """Total, coverage and rank of every chain for every basket.
 
-    The distinct (query, place) pairs are answered once. Lines stay partitioned
-    by basket from validation to ranking, so when the answers fit a broadcast
-    join the baskets themselves are shuffled once. The chains (a small, counted
-    dimension) are part of the result: each basket lists all of them.
+    The distinct (query, place) pairs are answered once. Lines meet their answers
+    as one array per line and move to their basket in that compact form; they
+    are spread over chains only there, so totals and ranks need no further
+    shuffle. The chains (a small, counted dimension) are part of the result:
+    each basket lists all of them.
     """
     lines = valid_lines(lines)
     answers = (
@@ -95,6 +96,8 @@ def compare_baskets(cat: Catalog, lines: DataFrame, pick: str = "best_rank") ->
     )
     per_chain = (
         _join_lines(lines, answers)
+        .select("basket_id", "qty", "chains")
+        .repartition("basket_id")
         .select("basket_id", "qty", F.inline("chains"))
         .groupBy("basket_id", "supermarket_id")
         .agg(
