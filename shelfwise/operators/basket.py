@@ -72,6 +72,28 @@ def _answers(cat: Catalog, asked: DataFrame, pick: str) -> DataFrame:
     )
 
 
+def _answer_lists(cat: Catalog, asked: DataFrame, pick: str) -> DataFrame:
+    """Every asked (query, place) with one array of (chain, price or NULL) over all chains."""
+    hits = (
+        best_per_chain(cat, asked, strict=True, pick=pick)
+        .groupBy("query_id")
+        .agg(F.collect_list(F.struct("supermarket_id", "price")).alias("hits"))
+    )
+    every = cat.supermarkets.agg(F.collect_list("id").alias("every_chain"))  # one row
+    found = F.coalesce(F.col("hits"), F.array().cast("array<struct<supermarket_id:bigint,price:double>>"))
+    missing = F.transform(
+        F.array_except("every_chain", F.col("found")["supermarket_id"]),
+        lambda c: F.struct(c.alias("supermarket_id"), F.lit(None).cast("double").alias("price")),
+    )
+    return (
+        asked.select("query_id")
+        .join(hits, "query_id", "left")
+        .select("query_id", found.alias("found"))
+        .crossJoin(F.broadcast(every))
+        .select("query_id", F.concat("found", missing).alias("chains"))
+    )
+
+
 def _join_lines(lines: DataFrame, answers: DataFrame) -> DataFrame:
     keyed = answers.select(*[F.col(f"query_id.{c}").alias(f"a_{c}") for c in _WANT], "chains")
     on = [F.col("query") == F.col("a_query")]
@@ -89,11 +111,7 @@ def compare_baskets(cat: Catalog, lines: DataFrame, pick: str = "best_rank") ->
     each basket lists all of them.
     """
     lines = valid_lines(lines)
-    answers = (
-        _answers(cat, _asked(lines), pick)
-        .groupBy("query_id")
-        .agg(F.collect_list(F.struct("supermarket_id", "price")).alias("chains"))
-    )
+    answers = _answer_lists(cat, _asked(lines), pick)
     per_chain = (
         _join_lines(lines, answers)
         .select("basket_id", "qty", "chains")
