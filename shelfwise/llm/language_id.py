@@ -71,7 +71,6 @@ class Models:
                 orders.insert(0, dict(lower))
             per.append(orders)
         alphabet = len({g for orders in per for g in orders[0]}) + 1
-        self.floor = np.log(np.full(len(langs), 1.0 / alphabet) * DISCOUNT)
         self.hashes: list[np.ndarray] = []
         self.logs: list[np.ndarray] = []
         self.backoff: list[np.ndarray] = []
@@ -100,6 +99,8 @@ class Models:
                 below[k] = now
             self._add(grams, np.log(table), self.hashes, self.logs, width)
             self._add(contexts, np.log(weights), self.contexts, self.backoff, width - 1)
+        # a character no training text has: what single characters leave over, spread evenly
+        self.floor = self.backoff[0][0] - np.log(alphabet) if len(self.backoff[0]) else np.zeros(len(langs))
         self.thresholds = np.full(len(langs), np.inf)
         self.scale = 1.0
         self.memo: Recent | None = None
