@@ -32,8 +32,9 @@ def is_sane_price(p: Column) -> Column:
     return p.between(MIN_SANE_PRICE, MAX_SANE_PRICE) & ~F.isnan(p)
 
 
-def price_or_null(p: Column) -> Column:
-    return F.when(p > 0, p)
+def positive(p: Column) -> Column:
+    """A price above 0; Spark orders NaN above every number, so it is ruled out."""
+    return (p > 0) & ~F.isnan(p)
 
 
 def discount_shown(price: Column, old_price: Column) -> Column:

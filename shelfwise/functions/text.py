@@ -128,13 +128,11 @@ def place_slug(place: Column, prefix: str) -> Column:
 
 
 def fallback_product_id(name: Column) -> Column:
-    return F.substring(dashed(name), 1, 80)
+    return dashed(name)
 
 
 def admin_product_id(name: Column) -> Column:
-    return F.concat(
-        F.lit("admin-"), F.substring(F.regexp_replace(normalize_text(name), " ", "-"), 1, 60)
-    )
+    return F.concat(F.lit("admin-"), F.regexp_replace(normalize_text(name), " ", "-"))
 
 
 def supermarket_slug(name: Column) -> Column:

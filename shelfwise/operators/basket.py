@@ -11,9 +11,6 @@ from shelfwise.operators.search import best_per_chain, with_product_details
 from shelfwise.session import broadcast_if_small, materialize
 from shelfwise.sources.snapshot import Catalog
 
-#: items a basket may hold; a larger request is refused whole
-MAX_ITEMS = 50
-
 _WANT = ["query", "city", "county"]
 
 
@@ -36,21 +33,25 @@ def basket_totals(lines: DataFrame) -> DataFrame:
     return lines.groupBy("basket_id").agg(F.sum("qty").alias("item_total"))
 
 
-def valid_lines(lines: DataFrame) -> DataFrame:
-    """Lines of acceptable baskets: non-blank queries, at most ``MAX_ITEMS`` of them.
+def valid_lines(lines: DataFrame, max_items: int | None = None) -> DataFrame:
+    """Lines with a non-blank query, numbered per basket.
 
-    Only the first ``MAX_ITEMS + 1`` lines of a basket travel, enough to see that
-    it is too large, so an oversized basket never gathers in one task.
+    Baskets of any size are answered. With ``max_items`` a larger basket is refused
+    whole; only its first ``max_items + 1`` lines travel, enough to see that.
     """
     basket = Window.partitionBy("basket_id")
     ordered = basket.orderBy("seq", "query")
-    return (
+    numbered = (
         lines.filter(js_trim(F.col("query")) != "")
         .withColumn("qty", F.when(F.col("qty") > 0, F.col("qty")).otherwise(F.lit(1.0)))
         .withColumn("item_no", F.row_number().over(ordered))
-        .filter(F.col("item_no") <= MAX_ITEMS + 1)
+    )
+    if max_items is None:
+        return numbered
+    return (
+        numbered.filter(F.col("item_no") <= max_items + 1)
         .withColumn("n_items", F.count("*").over(basket))
-        .filter(F.col("n_items") <= MAX_ITEMS)
+        .filter(F.col("n_items") <= max_items)
         .drop("n_items")
     )
 
@@ -101,21 +102,21 @@ def _join_lines(lines: DataFrame, answers: DataFrame) -> DataFrame:
     return lines.join(keyed, on).drop("a_query", "a_city", "a_county")
 
 
-def compare_baskets(cat: Catalog, lines: DataFrame, pick: str = "best_rank") -> DataFrame:
+def compare_baskets(
+    cat: Catalog, lines: DataFrame, pick: str = "best_rank", max_items: int | None = None
+) -> DataFrame:
     """Total, coverage and rank of every chain for every basket.
 
     The distinct (query, place) pairs are answered once. Lines meet their answers
-    as one array per line and move to their basket in that compact form; they
-    are spread over chains only there, so totals and ranks need no further
-    shuffle. The chains (a small, counted dimension) are part of the result:
-    each basket lists all of them.
+    as one array per line; totals are partial sums per (basket, chain) before the
+    shuffle. The chains (a small dimension) are part of the result: each basket
+    lists all of them.
     """
-    lines = valid_lines(lines)
+    lines = valid_lines(lines, max_items)
     answers = _answer_lists(cat, _asked(lines), pick)
     per_chain = (
         _join_lines(lines, answers)
         .select("basket_id", "qty", "chains")
-        .repartition("basket_id")
         .select("basket_id", "qty", F.inline("chains"))
         .groupBy("basket_id", "supermarket_id")
         .agg(
@@ -220,7 +221,7 @@ def compare_items(cat: Catalog, lines: DataFrame, pick: str = "best_rank") -> Da
 def comparison_items(cat: Catalog, lines: DataFrame, pick: str = "best_rank") -> DataFrame:
     """As :func:`compare_items`, gathered into one ordered ``items`` array per basket and chain.
 
-    A basket has at most ``MAX_ITEMS`` items, so the arrays are bounded.
+    An array is as long as its basket.
     """
     rows = compare_items(cat, lines, pick)
     item = F.struct(

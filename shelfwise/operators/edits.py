@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.functions.numbers import positive
 from shelfwise.functions.categories import map_category
 from shelfwise.functions.text import (
     admin_product_id,
@@ -69,7 +70,7 @@ def create_products(cat: Catalog, edits: DataFrame, as_of: datetime) -> Catalog:
     )
     size = parse_unit_size(F.col("unit_size"))
     rows = (
-        edits.filter((F.col("name") != "") & (F.col("price") > 0))
+        edits.filter((F.col("name") != "") & positive(F.col("price")))
         .join(chain, "supermarket_slug")
         .withColumns(
             {
@@ -154,7 +155,7 @@ def patch_products(cat: Catalog, edits: DataFrame, as_of: datetime) -> Catalog:
         | {c: F.coalesce(f"new_{c}", c) for c in kept}
     )
 
-    price_edits = rows.filter(F.col("price") > 0)
+    price_edits = rows.filterpositive(F.col("price"))
     last = price_edits.groupBy("product_id").agg(
         F.max(F.struct("seq", "price")).alias("last")
     )

@@ -32,8 +32,6 @@ from shelfwise.sources.snapshot import Catalog
 #: longest word beginning indexed for prefix search; longer ones are checked after the join
 PREFIX_KEY = 6
 OUTSIDE_CATEGORY = 1000
-DEFAULT_LIMIT = 60
-DEFAULT_CANDIDATES = 500
 
 # what decides which names match a query, and how they rank
 SHAPE = ["nq", "prefix", "by_category"]
@@ -253,14 +251,14 @@ def _category_arm(cat: Catalog, q: DataFrame, cap: int | None) -> DataFrame:
 def search_hits(
     cat: Catalog,
     queries: DataFrame,
-    limit: int = DEFAULT_LIMIT,
-    candidate_cap: int | None = DEFAULT_CANDIDATES,
+    limit: int | None = None,
+    candidate_cap: int | None = None,
     reference_compat: bool = True,
 ) -> DataFrame:
     """(query_id, hit_no, match_rank, price, product_id, store_id), best offer per product.
 
-    ``candidate_cap`` product-store rows are ranked before products are reduced
-    to their best offer; None ranks them all.
+    ``limit`` hits per query, all of them by default. With a ``candidate_cap`` only so many
+    product-store rows are ranked before products are reduced to their best offer.
     """
     q = prepare_queries(queries)
     rows = _name_arm(cat, q, candidate_cap, reference_compat).unionByName(
@@ -280,7 +278,7 @@ def search_hits(
     w = Window.partitionBy("query_id").orderBy(*_ORDER)
     return (
         best.withColumn("hit_no", F.row_number().over(w))
-        .filter(F.col("hit_no") <= limit)
+        .filter(F.lit(True) if limit is None else F.col("hit_no") <= limit)
         .select("query_id", "hit_no", *_ORDER)
     )
 

@@ -211,6 +211,9 @@ FROM d"""
 
 # ---------------------------------------------------------------- search
 
+#: hits per query that the registered searches ask for
+TOP_HITS = 60
+
 TERM_ROWS = (
     "queries AS (SELECT CAST(i AS BIGINT) AS query_id, "
     f"({sql_list(GROCERY_TERMS)})[i + 1] AS q FROM range({len(GROCERY_TERMS)}) t(i))"
@@ -224,8 +227,7 @@ def search_sql(
     category: str = "NULL",
     supermarket: str = "NULL",
     county: str = "NULL",
-    limit: int = 60,
-    cap: int = 500,
+    limit: int = TOP_HITS,
     columns: str = "query_id, q, hit_no, id AS product_id, store_id, slug, name, price, match_rank",
 ) -> str:
     """Text scan of every product for every query, then the two cuts."""
@@ -263,7 +265,7 @@ WITH {VIEWS}, {queries}, normal AS (
     AND (want_county IS NULL OR r.store_id = 0 OR s.county = want_county)
 ), capped AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY match_rank, price, id, store_id) AS n
-  FROM ranked QUALIFY n <= {cap}
+  FROM ranked
 ), firsts AS (
   SELECT * FROM capped QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY n) = 1
 ), numbered AS (
@@ -725,12 +727,11 @@ WITH {VIEWS}, ranked AS (
          row_number() OVER (PARTITION BY p.category ORDER BY r.price, p.id, r.store_id) AS n
   FROM products p JOIN prices r ON r.product_id = p.id LEFT JOIN stores s ON s.id = r.store_id
   WHERE r.store_id = 0 OR s.county = 'Cluj'
-  QUALIFY n <= 500
 ), firsts AS (
   SELECT * FROM ranked QUALIFY row_number() OVER (PARTITION BY category, id ORDER BY n) = 1
 )
 SELECT category, id AS product_id, store_id, price, row_number() OVER (PARTITION BY category ORDER BY n) AS hit_no
-FROM firsts QUALIFY hit_no <= 60"""
+FROM firsts QUALIFY hit_no <= {TOP_HITS}"""
 
 
 def product_labels() -> str:
@@ -787,3 +788,11 @@ def runners_up() -> str:
 WITH {VIEWS}, {BASKETS}, {FOUND}, {COMPARED}
 SELECT slug, chain_rank, count(*) AS baskets FROM chain_ranked WHERE found_count > 0 AND chain_rank > 3
 GROUP BY slug, chain_rank"""
+
+
+def csv_order() -> str:
+    return """
+SELECT CAST(p_partkey AS VARCHAR) AS external_id,
+       p_retailprice + CASE WHEN p_partkey % 4 = 0 THEN 0 WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END AS price,
+       1 + CAST(p_partkey % 2 = 0 AS BIGINT) + CAST(p_partkey % 4 = 0 AS BIGINT) AS deliveries
+FROM part"""

@@ -127,7 +127,7 @@ def term_queries(spark: SparkSession) -> DataFrame:
 
 
 def _search(spark: SparkSession, sf_dir: str, queries: DataFrame, **options) -> DataFrame:
-    hits = search(testbed.catalog(spark, sf_dir), queries, **options)
+    hits = search(testbed.catalog(spark, sf_dir), queries, limit=oracles.TOP_HITS, **options)
     rows = hits.join(F.broadcast(queries.select("query_id", "q")), "query_id").select(
         "query_id", "q", "hit_no", "product_id", "store_id",
         F.col("supermarket_slug").alias("slug"), "name", "price", "match_rank",
@@ -545,6 +545,26 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("csv_order", oracles.csv_order())
+def csv_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three deliveries, each smaller than the one before, that contradict each other: the last row wins."""
+    key = F.col("p_partkey")
+    parts = table(spark, sf_dir, "part").select(
+        key.cast("string").alias("external_id"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("brand"),
+        "p_retailprice", F.lit(None).cast("double").alias("old_price"),
+        *[F.lit(None).cast("string").alias(c) for c in ("unit_size", "category", "image_url", "url")],
+    )
+    root = new_shared_path(spark, "deliveries")
+    paths = []
+    for i, step in enumerate((1, 2, 4)):
+        some = parts.filter(F.col("external_id").cast("bigint") % step == 0)
+        rows = some.withColumn("price", F.col("p_retailprice") + (2 - i)).drop("p_retailprice")
+        paths.append(f"{root}/{'zya'[i]}")  # the oldest path is not the first by name
+        csv.write_catalogue_csv(csv.catalogue_csv_rows(rows, "metro", city="Cluj Napoca"), paths[-1])
+    landed = csv.rows_to_batch(csv.read_catalogue_csv(spark, paths)).products
+    return landed.groupBy("external_id").agg(F.max_by("price", "seq").alias("price"), F.count("*").alias("deliveries"))
+
+
 def _payloads(items: DataFrame, size: int = 50) -> DataFrame:
     """Items (key, pos, item) gathered into payloads of ``size`` parts, some items twice."""
     again = items.filter(F.col("key") % 5 == 0).withColumn("pos", F.lit(1))
@@ -895,7 +915,7 @@ def category_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(slug, None, slug, "Cluj") for slug in CATEGORIES],
         "query_id string, q string, category string, county string",
     )
-    hits = search_hits(testbed.catalog(spark, sf_dir), queries)
+    hits = search_hits(testbed.catalog(spark, sf_dir), queries, limit=oracles.TOP_HITS)
     return longs(hits, "hit_no").select(
         F.col("query_id").alias("category"), "product_id", "store_id", "price", "hit_no"
     )

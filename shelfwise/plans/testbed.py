@@ -26,22 +26,19 @@ from shelfwise.schemas import NATIONAL
 from shelfwise.session import new_shared_path, spread
 from shelfwise.sources.snapshot import Catalog, empty_catalog, read_snapshot, write_snapshot
 
-# Everyday grocery search terms.
+#: what the test products are called besides their part name; several words, several categories
 GROCERY_TERMS = (
-    "lapte,iaurt,branza,cascaval,smantana,unt,oua,kefir,mozzarella,telemea,"
-    "paine,bagheta,chifle,covrigi,lipie,"
-    "piept pui,pulpe pui,carne porc,carne vita,mici,carnati,salam,sunca,crenvursti,bacon,"
-    "somon,ton,peste,"
-    "rosii,castraveti,cartofi,ceapa,morcovi,ardei,salata,mere,banane,portocale,"
-    "lamai,struguri,pepene,capsuni,avocado,usturoi,dovlecei,vinete,ciuperci,"
-    "ulei,faina,zahar,orez,paste,malai,otet,sare,piper,bulion,ketchup,maioneza,mustar,"
-    "cereale,musli,miere,gem,ciocolata,biscuiti,napolitane,chips,snack,inghetata,"
-    "conserva,fasole,porumb,mazare,zacusca,pizza congelata,legume congelate,"
-    "apa minerala,apa plata,suc,cola,bere,vin,cafea,ceai,energizant,fanta,"
-    "detergent,balsam rufe,hartie igienica,servetele,detergent vase,sampon,gel de dus,"
-    "sapun,pasta de dinti,deodorant,"
-    "scutece,hrana pisici,hrana caini"
-).split(",")
+    "lapte de capra", "iaurt de baut", "unt cu sare", "oua de tara", "cascaval afumat",
+    "paine neagra", "cozonac", "chifle cu susan", "piept de curcan", "pulpe de rata", "salam uscat",
+    "carnati picanti", "file de somon", "sardine", "rosii cherry", "ardei kapia", "ceapa rosie",
+    "mere golden", "pere", "banane", "struguri negri", "cartofi noi", "ulei de masline",
+    "faina alba", "orez brun", "zahar brun", "paste fainoase", "otet de mere", "sare grunjoasa",
+    "miere de salcam", "ciocolata amaruie", "biscuiti digestivi", "inghetata de vanilie",
+    "fasole boabe", "mazare fina", "porumb dulce", "pizza cu ciuperci", "apa carbogazoasa",
+    "suc de portocale", "bere blonda", "vin rosu", "cafea boabe", "ceai verde", "detergent lichid",
+    "balsam de rufe", "servetele umede", "sampon", "sapun lichid", "pasta de dinti", "scutece",
+    "hrana uscata pisici", "baterii", "lumanari", "caiete",
+)
 
 CITIES = [c.title() for c in CITY_COUNTY]
 

@@ -33,13 +33,15 @@ def local_session(cpus: int | str = "*", app: str = "shelfwise") -> SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, a temporary one only if unset."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``, a temporary one only if unset and the master is local."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     fallback = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback

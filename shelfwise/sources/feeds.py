@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions.numbers import parse_price
+from shelfwise.functions.numbers import parse_price, positive
 from shelfwise.functions.text import blank_to_null, js_trim, title_case
 from shelfwise.functions.units import parse_base_price
 from shelfwise.operators.keyed import first_per_key
@@ -134,7 +134,7 @@ def lidl(raw: DataFrame) -> DataFrame:
         valid_from=_epoch_date(validity["validFrom"]),
         valid_to=_epoch_date(validity["validUntil"]),
     )
-    return _first_wins(products.filter((F.col("external_id") != "") & (F.col("price") > 0)))
+    return _first_wins(products.filter((F.col("external_id") != "") & positive(F.col("price"))))
 
 
 def auchan(raw: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def auchan(raw: DataFrame) -> DataFrame:
         image_url=F.get(first["images"], F.lit(0))["imageUrl"],
         url=F.when(link != "", F.concat(F.lit(AUCHAN_SITE + "/"), link, F.lit("/p"))),
     )
-    valid = (F.col("external_id") != "") & (F.col("name") != "") & (F.col("price") > 0)
+    valid = (F.col("external_id") != "") & (F.col("name") != "") & positive(F.col("price"))
     return _first_wins(products.filter(valid))
 
 
@@ -199,7 +199,7 @@ def penny(raw: DataFrame) -> DataFrame:
         valid_from=p["price"]["validityStart"],
         valid_to=p["price"]["validityEnd"],
     )
-    valid = F.col("external_id").isNotNull() & (F.col("name") != "") & (F.col("price") > 0)
+    valid = F.col("external_id").isNotNull() & (F.col("name") != "") & positive(F.col("price"))
     return _first_wins(products.filter(valid))
 
 
@@ -250,7 +250,7 @@ def kaufland(raw: DataFrame, reference_compat: bool = False) -> DataFrame:
         valid_to=o["dateTo"],
         kl_nr=F.coalesce(o["klNr"], F.lit("")),
     )
-    priced = products.filter(F.col("external_id").isNotNull() & (F.col("price") > 0))
+    priced = products.filter(F.col("external_id").isNotNull() & positive(F.col("price")))
     return _first_wins(priced).filter(F.col("name").isNotNull())
 
 

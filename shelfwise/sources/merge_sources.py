@@ -14,8 +14,7 @@ from shelfwise.schemas import HARVESTED_COLUMNS
 
 
 def product_key(external_id: Column, name: Column) -> Column:
-    own = F.when(external_id != "", external_id).otherwise(dashed(name))
-    return F.substring(own, 1, 120)
+    return F.when(external_id != "", external_id).otherwise(dashed(name))
 
 
 def merge_sources(*sources: DataFrame) -> DataFrame:

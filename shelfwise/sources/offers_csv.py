@@ -11,7 +11,7 @@ from shelfwise.functions.numbers import is_sane_price, parse_price
 from shelfwise.functions.text import blank_to_null, js_trim
 from shelfwise.functions.units import unit_from_name
 from shelfwise.schemas import HARVESTED_COLUMNS
-from shelfwise.sources.catalogue_csv import READ_OPTIONS
+from shelfwise.sources.catalogue_csv import read_in_arrival_order
 
 # Header patterns per role; the first matching column takes the role.
 ROLES = {
@@ -68,4 +68,4 @@ def products_from_offers(raw: DataFrame) -> DataFrame:
 
 
 def read_offers_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return products_from_offers(spark.read.options(**READ_OPTIONS).csv(path))
+    return products_from_offers(read_in_arrival_order(spark, path))

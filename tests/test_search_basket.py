@@ -73,7 +73,9 @@ def test_demo_baskets(spark, demo):
     assert [s for s, _, _ in got[1][6:]] == ["metro", "penny"]
     assert got[2][:2] == [("profi", 2, 27.16), ("lidl", 1, 19.47)]
     assert all(n == 0 and t == 0 for _, n, t in got[2][2:])
-    assert got[3] == []  # more than fifty items: refused
+    assert len(got[3]) == 8 and all(n == 0 for _, n, _ in got[3])  # a basket of any size is answered
+    small = basket.compare_baskets(demo, data, max_items=50).select("basket_id").distinct().collect()
+    assert {r.basket_id for r in small} == {1, 2}  # unless a bound is asked for
     items = basket.compare_items(demo, data).join(demo.supermarkets.select(F.col("id").alias("supermarket_id"), "slug"), "supermarket_id")
     missed = items.filter("basket_id = 2 and query = 'lapte zuzu' and slug = 'lidl'").first()
     alt = demo.products.filter(F.col("id") == missed.alt_product_id).first()
