@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from shelfwise.llm.common import bound_batches
-from shelfwise.session import new_shared_path
+from shelfwise.session import materialize, new_shared_path
 
 #: uncompressed bytes of a shard at most (but for one record), and the least number of shards aimed at
 SHARD_BYTES = 1 << 30
@@ -39,7 +39,7 @@ MIN_SHARDS = 512
 #: compressed bytes after which a file is closed
 FILE_BYTES = 1 << 30
 #: bins of the page id histogram
-BINS = 1 << 16
+BINS = 1 << 13
 #: every record of an archive carries this date: content alone decides the bytes
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -140,20 +140,21 @@ def _manifest_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.name for f in MANIFEST])
 
 
-def with_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Columns page_id, url, html, revisit, refers_to: equal payloads of at least ``min_bytes`` are stored once."""
+def notices(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(page_id, sha, first): pages whose payload, of at least ``min_bytes``, a smaller page id has too."""
     html = F.coalesce("html", F.lit(""))
-    keyed = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("sha"))
+    keyed = pages.filter(F.octet_length(html) >= min_bytes).select("page_id", F.sha1(html.cast("binary")).alias("sha"))
     # copies only: most payloads are unique and need no entry in the join
-    first = keyed.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    revisit = (F.octet_length("html") >= min_bytes) & ~F.col("first").eqNullSafe(F.col("page_id")) & F.col("first").isNotNull()
-    return keyed.join(first, "sha", "left").select(
-        "page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to")
-    )
+    first = keyed.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL")
+    copies = keyed.join(first, "sha").filter(~F.col("first").eqNullSafe(F.col("page_id")))
+    return copies.select("page_id", "sha", "first").distinct()
+
 
+def shard_of(pages: DataFrame, shard_bytes: int = SHARD_BYTES, min_shards: int = MIN_SHARDS):
+    """A function that adds ``shard`` to rows with page_id and sha, ascending with the page id.
 
-def with_shards(pages: DataFrame, shard_bytes: int = SHARD_BYTES, min_shards: int = MIN_SHARDS) -> DataFrame:
-    """``pages`` with a long ``shard``, ascending with the page id but for bins split by hash."""
+    Only rows of a bin larger than a shard are dealt by hash among as many shards as it needs.
+    """
     size = F.octet_length(F.coalesce("html", F.lit(""))) + 512
     sizes = pages.select("page_id", size.alias("size"))
     low, high, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
@@ -171,44 +172,61 @@ def with_shards(pages: DataFrame, shard_bytes: int = SHARD_BYTES, min_shards: in
     splits = F.ceil(F.col("size") / F.lit(aim))
     bounds = bins.select("bin", F.coalesce(before, F.lit(0)).alias("before"), splits.alias("splits"))
     bounds = bounds.select("bin", F.expr(f"before div {aim}L").alias("start"), "splits")
-    salt = F.pmod(F.xxhash64("page_id", "html"), F.col("splits"))
-    return binned(pages).join(F.broadcast(bounds), "bin").withColumn("shard", F.col("start") + salt).drop("bin", "start", "splits")
+    bounds = materialize(bounds, "shard-bounds")
+    salt = F.pmod(F.xxhash64("page_id", "sha"), F.col("splits"))
+    return lambda df: (
+        binned(df).join(F.broadcast(bounds), "bin").withColumn("shard", F.col("start") + salt).drop("bin", "start", "splits")
+    )
 
 
 def write(
     pages: DataFrame, root: str, min_bytes: int = 0, shard_bytes: int = SHARD_BYTES, min_shards: int = MIN_SHARDS, file_bytes: int = FILE_BYTES
 ) -> DataFrame:
-    """Write ``pages`` (page_id, url, html) as archives under the shared folder ``root``; returns the manifest."""
+    """Write ``pages`` (page_id, url, html) as archives under the shared folder ``root``; returns the manifest.
+
+    The pages are shuffled once, by shard. Which of them are revisits is worked out from ids and
+    digests alone and travels as small notices that sort just before their pages.
+    """
     spark = pages.sparkSession
     bound_batches(spark)
     root = _uri(root)
     store, base = fs.FileSystem.from_uri(root)
     store.create_dir(f"{base}/_temporary", recursive=True)
-    typed = with_shards(with_types(pages, min_bytes), shard_bytes, min_shards)
-    sorted_pages = (
-        typed.select("shard", "page_id", "url", "html", "revisit", "refers_to")
+    html = F.coalesce("html", F.lit(""))
+    pages = pages.select("page_id", "url", html.alias("html"))
+    add_shard = shard_of(pages, shard_bytes, min_shards)
+    told = notices(pages, min_bytes).select("page_id", "sha", "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
+    stored = pages.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha"), F.lit(None).cast("long").alias("first"), "url", "html")
+    rows = (
+        add_shard(told.union(stored))
+        .select("shard", "page_id", "sha", "first", "url", "html")
         .repartition("shard")
-        .sortWithinPartitions("shard", "page_id", "revisit", "url", "html")
+        .sortWithinPartitions("shard", "page_id", F.col("html").isNotNull(), "sha", "url")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller = None
+        roller, of, known = None, None, {}
         for batch in batches:
             done = []
             for start in range(0, batch.num_rows, 64):
                 for row in zip(*(c.to_pylist() for c in batch.slice(start, 64).columns)):
-                    shard, page_id, url, html, revisit, refers_to = row
+                    shard, page_id, sha, first, url, page = row
+                    if of != (shard, page_id):
+                        of, known = (shard, page_id), {}
+                    if page is None:
+                        known[sha] = first
+                        continue
                     if roller is not None and (roller.shard != shard or roller.full()) and roller.sink is not None:
                         done.append(roller.commit())
                     if roller is None or roller.shard != shard:
                         roller = _Roller(root, shard, file_bytes)
-                    roller.add(record_bytes(page_id, url, html.encode("utf-8"), refers_to, revisit))
+                    roller.add(record_bytes(page_id, url, page.encode("utf-8"), known.get(sha), sha in known))
             if done:
                 yield _manifest_rows(done)
         if roller is not None and roller.sink is not None:
             yield _manifest_rows([roller.commit()])
 
-    sorted_pages.mapInArrow(run, MANIFEST).write.parquet(f"{root}/manifest")
+    rows.mapInArrow(run, MANIFEST).write.parquet(f"{root}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
 
 
