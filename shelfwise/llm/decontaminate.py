@@ -25,10 +25,12 @@ from pyspark.sql import types as T
 
 from shelfwise.llm.common import bound_batches, keep_rows, slices
 
-Q = 6
-RATE = 0.12
+Q = 7
+RATE = 0.1
 #: bytes of normalised benchmark text in a block, and bits of the first look-up table
 BLOCK_BYTES = 2 << 20
+#: bytes of document text looked at together; longer texts are cut into overlapping windows
+WINDOW_BYTES = 1 << 17
 TABLE_BITS = 22
 _OTHER = re.compile(r"[\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -105,15 +107,12 @@ class Index:
 
     def hits(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position, item, place in the item) of every shared q-gram."""
-        found = []
-        for start in range(0, len(data), 1 << 20):  # bounded work arrays for very long texts
-            codes = grams(data[start : start + (1 << 20) + self.q - 1], self.q)
-            at = np.flatnonzero(self.table[self._cell(codes)])
-            codes = codes[at]
-            row = np.minimum(np.searchsorted(self.codes, codes), max(len(self.codes) - 1, 0))
-            same = self.codes[row] == codes if len(self.codes) else np.zeros(0, bool)
-            found.append((at[same] + start, row[same]))
-        at, row = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        codes = grams(data, self.q)
+        at = np.flatnonzero(self.table[self._cell(codes)])
+        codes = codes[at]
+        row = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        same = self.codes[row] == codes
+        at, row = at[same], row[same]
         n = self.count[row]
         before = np.cumsum(n) - n
         post = np.repeat(self.first[row] - before, n) + np.arange(int(n.sum()))
@@ -128,8 +127,8 @@ class Index:
         doc = np.searchsorted(starts, at, side="right") - 1
         pair = doc * len(self.ids) + item
         # an item that shares too few q-grams with the whole document needs no bands
-        kinds, back, n = np.unique(pair, return_inverse=True, return_counts=True)
-        keep = (n >= self.need[kinds % len(self.ids)])[back]
+        n = np.bincount(pair, minlength=len(starts) * len(self.ids))
+        keep = (n >= np.tile(self.need, len(starts)))[pair]
         at, item, place, doc, pair = at[keep], item[keep], place[keep], doc[keep], pair[keep]
         if not len(at):
             return
@@ -138,16 +137,51 @@ class Index:
         band = diagonal // step
         spread = len(data) * 2 + 2
         keys = np.concatenate([pair * spread + band, pair * spread + band - 1])
-        keys, n = np.unique(keys, return_counts=True)
-        pairs, bands = keys // spread, keys % spread
-        for p, b in zip(*(x[n >= self.need[pairs % len(self.ids)]].tolist() for x in (pairs, bands))):
+        keys, back, n = np.unique(keys, return_inverse=True, return_counts=True)
+        need = self.need[keys // spread % len(self.ids)]
+        # an alignment matches a place of the item once, so repeats of a q-gram are counted once
+        crowded = (n >= need)[back]
+        places = int(place.max()) + 1
+        found = np.unique(back[crowded] * places + np.tile(place, 2)[crowded])
+        n = np.bincount(found // places, minlength=len(keys))
+        for key in keys[n >= need].tolist():
+            p, b = divmod(key, spread)
             d, i = divmod(p, len(self.ids))
             yield d, i, b * (int(self.budgets[i]) + 1) - len(data)
 
+    def windows(self, texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
+        """Groups of (document, offset, stretch), each about :data:`WINDOW_BYTES`.
+
+        Windows of one text overlap by more than any item with its edits, so an occurrence lies whole in one.
+        """
+        longest = max(map(len, self.texts))
+        overlap = longest + 4 * (int(self.budgets.max()) + 1) + self.q
+        width = max(WINDOW_BYTES, 4 * overlap)
+        group, size = [], 0
+        for d, text in enumerate(texts):
+            for start in range(0, max(len(text) - overlap, 1), width - overlap):
+                stretch = text[start : start + width]
+                if group and size + len(stretch) > width:
+                    yield group
+                    group, size = [], 0
+                group.append((d, start, stretch))
+                size += len(stretch)
+        if group:
+            yield group
+
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
         """(document, item, edits, end of the stretch): the best occurrence of each item in each document."""
         if not self.ids:
             return []
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for group in self.windows(texts):
+            for w, i, edits, end in self._search([stretch for _, _, stretch in group]):
+                d, offset, _ = group[w]
+                if (edits, offset + end) < best.get((d, i), (edits + 1, 0)):
+                    best[d, i] = edits, offset + end
+        return [(d, i, *found) for (d, i), found in sorted(best.items())]
+
+    def _search(self, texts: list[bytes]) -> list[tuple[int, int, int, int]]:
         lengths = np.array([len(t) + 1 for t in texts])
         starts = np.cumsum(lengths) - lengths
         best: dict[tuple[int, int], tuple[int, int]] = {}
