@@ -14,8 +14,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,7 +26,7 @@ from pyspark.sql import types as T
 from shelfwise.llm.common import Recent, bound_batches, slices
 
 #: pre-tokens each worker remembers per generation
-MEMO = 300_000
+MEMO = 250_000
 
 # Letters, numbers and white space up to U+00FF, and Unicode's white space
 LATIN_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -154,15 +156,15 @@ class Vocabulary:
                 put(before[i], pair(before[i], i))
         return [x for x in ids if x >= 0]
 
-    def remembered(self, token: str) -> tuple[int, str, bytes, tuple[int, ...]]:
-        """Number of ids, ids as text, decoded bytes and ids of a pre-token."""
+    def remembered(self, token: str) -> tuple[int, str, bytes, bytes]:
+        """Number of ids, ids as text, decoded bytes and ids (four bytes each) of a pre-token."""
         ids = self.merge(token.encode("utf-8"))
-        return len(ids), ",".join(map(str, ids)), self.join(ids), tuple(ids)
+        return len(ids), ",".join(map(str, ids)), self.join(ids), array("i", ids).tobytes()
 
     def join(self, ids) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
-    def tokens(self, text: str) -> list[tuple[int, str, bytes, tuple[int, ...]]]:
+    def tokens(self, text: str) -> list[tuple[int, str, bytes, bytes]]:
         """One entry per pre-token or special string of ``text``."""
         if self.memo is None:
             self.memo = Recent(self.remembered, MEMO)
@@ -170,13 +172,13 @@ class Vocabulary:
         for special, part in self.parts(text):
             if special:
                 i = self.specials[part]
-                out.append((1, str(i), part.encode("utf-8"), (i,)))
+                out.append((1, str(i), part.encode("utf-8"), array("i", [i]).tobytes()))
             else:
                 out.extend(map(self.memo.__getitem__, pre_tokens(part)))
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for entry in self.tokens(text) for i in entry[3]]
+        return np.frombuffer(b"".join([e[3] for e in self.tokens(text)]), np.int32).tolist()
 
     def decode(self, ids) -> str:
         """Text of ids, special ones included; bytes that are no UTF-8 become U+FFFD."""
@@ -247,10 +249,11 @@ def round_trip(
                 data = b"".join([e[2] for e in entries]).decode("utf-8", "replace")
                 of_text.append(hashlib.sha256(data.encode("utf-8")).hexdigest())
                 if with_ids:
-                    ids.append([i for e in entries for i in e[3]])
+                    ids.append(b"".join([e[3] for e in entries]))
             columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
             if with_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
+                ends = pa.array(np.cumsum([0, *counts]), pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), np.int32))))
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
 
     return df.select(id_col, text_col).mapInArrow(run, schema)

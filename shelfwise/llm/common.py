@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: bytes of text Spark may put into one Arrow batch for a Python worker
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 #: rows a worker turns into Python objects at a time
-SLICE_ROWS = 512
+SLICE_ROWS = 256
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -34,7 +34,7 @@ ORDER = 4
 TRAIN_DOCS = 1000
 DISCOUNT = 0.75
 REJECT = 0.005
-MEMO = 200_000
+MEMO = 100_000
 FOLDS, HELD_OUT = 4, 2
 MARK = "\x02"
 LETTERS = re.compile(r"[^\W\d_]+")

@@ -32,7 +32,7 @@ TRAIN_DOCS = 3000
 FEATURES, SUPPORT, SIGNIFICANT = 20_000, 4, 4.0
 PREFIXES = (3, 4, 5)
 STEPS, RATE, RIDGE = 300, 0.1, 1e-4
-MEMO = 300_000
+MEMO = 100_000
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 
