@@ -27,14 +27,14 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from shelfwise.llm.common import Recent, bound_batches, in_fold, slices
-from shelfwise.session import materialize
+from shelfwise.session import broadcast_if_small, materialize
 
 ORDER = 4
-#: labelled texts per language that models are trained on, and letters counted of them, at most
+#: labelled texts per language that models are trained on at most
 TRAIN_DOCS = 1000
 DISCOUNT = 0.75
 REJECT = 0.005
-MEMO = 100_000
+MEMO = 250_000
 FOLDS, HELD_OUT = 4, 2
 MARK = "\x02"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -190,7 +190,7 @@ def training_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, pe
     return (
         df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
         .filter("text IS NOT NULL AND lang IS NOT NULL")
-        .join(chosen, "id", "left_semi")
+        .join(broadcast_if_small(chosen), "id", "left_semi")  # per_lang rows a language
         .select("lang", "text")
     )
 
