@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from shelfwise.llm.common import bound_batches, keep_rows, slices
 
 Q = 7
-RATE = 0.1
+RATE = 0.12
 #: bytes of normalised benchmark text in a block, and bits of the first look-up table
 BLOCK_BYTES = 2 << 20
 #: bytes of document text looked at together; longer texts are cut into overlapping windows
