@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from shelfwise.llm.common import Recent, bound_batches, in_fold, slices
+from shelfwise.llm.common import bound_batches, in_fold, slices
 from shelfwise.session import broadcast_if_small, materialize
 
 ORDER = 4
@@ -34,19 +34,21 @@ ORDER = 4
 TRAIN_DOCS = 1000
 DISCOUNT = 0.75
 REJECT = 0.005
-MEMO = 250_000
+#: words a worker remembers, their letters at most, and words looked up together
+MEMO, MEMO_LETTERS, PART = 250_000, 4_000_000, 4096
 FOLDS, HELD_OUT = 4, 2
 MARK = "\x02"
 LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def hashed(codes: np.ndarray, width: int) -> np.ndarray:
-    """64-bit hashes of all windows of ``width`` character codes."""
-    n = len(codes) - width + 1
-    h = np.full(max(n, 0), width, np.uint64)
+def hashed(codes: np.ndarray, width: int, ends: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of windows of ``width`` character codes: all, or those whose last places are ``ends``."""
+    if ends is None:
+        ends = np.arange(width - 1, len(codes))
+    h = np.full(len(ends), width, np.uint64)
     for j in range(width):
-        h = (h ^ codes[j : j + n]) * _BASE
+        h = (h ^ codes[ends - (width - 1 - j)]) * _BASE
         h ^= h >> np.uint64(29)
     return h
 
@@ -103,10 +105,10 @@ class Models:
         self.floor = self.backoff[0][0] - np.log(alphabet) if len(self.backoff[0]) else np.zeros(len(langs))
         self.thresholds = np.full(len(langs), np.inf)
         self.scale = 1.0
-        self.memo: Recent | None = None
+        self.memo: np.ndarray | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": None}
+        return self.__dict__ | {"memo": None, "rows": None}
 
     @staticmethod
     def _lower(table: dict[str, float], gram: str, uniform: float) -> float:
@@ -128,35 +130,54 @@ class Models:
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         return at, keys[at] == h
 
-    def word(self, word: str) -> np.ndarray:
-        """Log probability of a word per language: each character given up to three before it."""
-        text = MARK * (ORDER - 1) + word + MARK
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log probabilities of words, a row each and a column per language: each character given up to three before it."""
+        text = "".join([MARK * (ORDER - 1) + w + MARK for w in words])
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        total = np.zeros(len(self.langs))
-        open_ = np.arange(len(codes) - ORDER + 1)  # windows not answered yet
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        # places of the characters to be answered: all but the marks before each word
+        ends = np.arange(int(sizes.sum())) + np.repeat((ORDER - 1) * np.arange(1, len(words) + 1), sizes)
+        logs = np.zeros((len(ends), len(self.langs)))
+        open_ = np.arange(len(ends))  # not answered yet
         for width in range(ORDER, 0, -1):
-            ends = codes[ORDER - width :]
-            at, hit = self._find(self.hashes[width - 1], hashed(ends, width)[open_])
-            total += self.logs[width - 1][at[hit]].sum(axis=0)
+            at, hit = self._find(self.hashes[width - 1], hashed(codes, width, ends[open_]))
+            logs[open_[hit]] += self.logs[width - 1][at[hit]]
             open_ = open_[~hit]
             if not len(open_):
-                return total
+                break
             if width > 1:  # unseen: the weight of the context, then a shorter one
-                before = hashed(ends[:-1], width - 1)[open_]
-                at, hit = self._find(self.contexts[width - 1], before)
-                total += self.backoff[width - 1][at[hit]].sum(axis=0)
-        return total + len(open_) * self.floor
+                at, hit = self._find(self.contexts[width - 1], hashed(codes, width - 1, ends[open_] - 1))
+                logs[open_[hit]] += self.backoff[width - 1][at[hit]]
+        logs[open_] += self.floor
+        return np.add.reduceat(logs, np.cumsum(sizes) - sizes, axis=0)
+
+    def word(self, word: str) -> np.ndarray:
+        return self.words([word])[0]
+
+    def known(self, words: list[str]) -> np.ndarray:
+        """The same through a bounded memo; only words it lacks are looked up, all at once."""
+        if self.memo is None:
+            self.memo, self.rows, self.letters = np.zeros((MEMO, len(self.langs))), {}, 0
+        new = [w for w in dict.fromkeys(words) if w not in self.rows]
+        if new:
+            letters = sum(map(len, new))
+            if len(self.rows) + len(new) > MEMO or self.letters + letters > MEMO_LETTERS:
+                self.rows, self.letters, new = {}, 0, list(dict.fromkeys(words))
+                letters = sum(map(len, new))
+            first = len(self.rows)
+            self.memo[first : first + len(new)] = self.words(new)
+            self.rows.update(zip(new, range(first, first + len(new))))
+            self.letters += letters
+        return self.memo[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
 
     def entropy(self, text: str | None) -> np.ndarray | None:
         """Nats a character per language; None without a letter."""
-        if self.memo is None:
-            self.memo = Recent(self.word, MEMO)
         words = LETTERS.findall((text or "").lower())
         if not words or not self.langs:
             return None
         total = np.zeros(len(self.langs))
-        for start in range(0, len(words), 4096):
-            total += np.sum(list(map(self.memo.__getitem__, words[start : start + 4096])), axis=0)
+        for start in range(0, len(words), PART):
+            total += self.known(words[start : start + PART]).sum(axis=0)
         return -total / (sum(map(len, words)) + len(words))
 
     def predict(self, text: str | None) -> tuple[str, float, float | None, bool]:
