@@ -32,6 +32,8 @@ from shelfwise.session import broadcast_if_small, materialize
 ORDER = 4
 #: labelled texts per language that models are trained on at most
 TRAIN_DOCS = 1000
+#: parts a language's ids are ranked in before they are ranked together
+SALTS = 64
 DISCOUNT = 0.75
 REJECT = 0.005
 #: words a worker remembers, their letters at most, and words looked up together
@@ -205,9 +207,12 @@ def training_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, pe
     ids = df.filter(~in_fold(id_col, FOLDS, HELD_OUT) & F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang")
     )
-    # top k per language: Spark cuts to k rows in every task before the shuffle
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = ids.withColumn("r", rank).filter(F.col("r") <= per_lang).select("id").distinct()
+    # top k per language: first of each salted part, so that no task ranks a common language alone
+    order = F.xxhash64("id")
+    for keys in (["lang", "salt"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order, "id"))
+        ids = ids.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS))).withColumn("r", rank).filter(F.col("r") <= per_lang)
+    chosen = ids.select("id").distinct()
     return (
         df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
         .filter("text IS NOT NULL AND lang IS NOT NULL")
