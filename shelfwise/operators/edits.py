@@ -155,7 +155,7 @@ def patch_products(cat: Catalog, edits: DataFrame, as_of: datetime) -> Catalog:
         | {c: F.coalesce(f"new_{c}", c) for c in kept}
     )
 
-    price_edits = rows.filterpositive(F.col("price"))
+    price_edits = rows.filter(positive(F.col("price")))
     last = price_edits.groupBy("product_id").agg(
         F.max(F.struct("seq", "price")).alias("last")
     )
