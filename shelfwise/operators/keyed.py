@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from shelfwise.session import materialize
 
-#: rows of one key that may meet in a task when walking through arrival order
-CHUNK_BITS = 22
-
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First row per key; Spark keeps one row per key and task before the shuffle."""
@@ -23,32 +20,36 @@ def last_known(column: str, seq: str = "seq") -> Column:
 
 
 def with_previous(
-    df: DataFrame, keys: list[str], value: str, seq: str, into: str, chunk_bits: int = CHUNK_BITS
+    df: DataFrame, keys: list[str], value: str, seq: str, into: str, parts: int | None = None
 ) -> DataFrame:
-    """``lag(value)`` per key in ``seq`` order, in chunks of the arrival order.
+    """``lag(value)`` per key in ``seq`` order, in chunks that hold a bounded share of the rows.
 
-    Rows of a key are split by ``seq >> chunk_bits``; inside a chunk the lag is
-    a plain window, and the first row of each chunk takes the last value of the
-    chunk before it. Only those first rows meet per key.
+    Rows are range-partitioned by key and order, so a key with very many rows lies in
+    several partitions; its rows in one of them are a chunk. Inside a chunk the lag is a
+    plain window, and its first row takes the last value of the chunk before it. Only the
+    first key of a partition can have a chunk before, so those values are at most one row
+    per partition.
     """
-    chunk = Window.partitionBy(*keys, "_chunk")
-    ordered = chunk.orderBy(seq)
-    inside = (
-        df.withColumn("_chunk", F.shiftright(F.col(seq), chunk_bits))
-        .withColumn(into, F.lag(value).over(ordered))
-        .withColumn("_row", F.row_number().over(ordered))
-        .withColumn(
-            "_last",
-            F.last(value).over(
-                ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            ),
-        )
+    ranged = df.repartitionByRange(*([parts] if parts else []), *keys, seq)
+    placed = materialize(ranged.withColumn("_part", F.spark_partition_id()), "chunks")
+    chunks = Window.partitionBy(*keys).orderBy("_part")
+    before = (
+        placed.groupBy(*keys, "_part")
+        .agg(F.max_by(value, seq).alias("_last"))
+        .withColumns({"_before": F.lag("_last").over(chunks), "_chunk": F.row_number().over(chunks)})
+        .filter(F.col("_chunk") > 1)
+        .select(F.col("_part").alias("_of"), *[F.col(k).alias(f"_of_{k}") for k in keys], "_before")
+    )
+    same = F.col("_part") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(seq)
+    previous = F.when(F.row_number().over(inside) == 1, F.col("_before")).otherwise(
+        F.lag(value).over(inside)
     )
-    heads = inside.filter(F.col("_row") == 1).withColumn(
-        into, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_chunk"))
+    return placed.join(F.broadcast(before), same, "left").select(
+        *df.columns, previous.alias(into)
     )
-    rest = inside.filter(F.col("_row") > 1)
-    return heads.unionByName(rest).drop("_chunk", "_row", "_last")
 
 
 def assign_ids(new: DataFrame, base: int, order: list[str], into: str = "id") -> DataFrame:

@@ -599,7 +599,7 @@ QUALIFY row_number() OVER (PARTITION BY county ORDER BY n) = 1"""
 def offer_availability() -> str:
     return """
 WITH listed AS (
-  SELECT DISTINCT l_partkey, 'S' || lpad(CAST(l_suppkey AS VARCHAR), 12, '0') AS store_n FROM lineitem WHERE l_returnflag = 'R'
+  SELECT DISTINCT l_partkey, 'S' || lpad(CAST(l_suppkey AS VARCHAR), 12, '0') AS store_n FROM lineitem
 )
 SELECT CAST(p_partkey AS VARCHAR) AS kl_nr, string_agg(store_n, ',' ORDER BY store_n) AS stores
 FROM part LEFT JOIN listed ON l_partkey = p_partkey GROUP BY p_partkey"""
@@ -763,7 +763,7 @@ FROM supplier JOIN slugs ON chain = s_nationkey"""
 def run_log() -> str:
     return f"""
 WITH {FEED}, valid AS (
-  SELECT chain_id, count(*) FILTER (WHERE price > 1000) AS saved, count(*) AS extracted FROM feed GROUP BY chain_id
+  SELECT chain_id, count(DISTINCT part) AS saved, count(*) AS extracted FROM feed GROUP BY chain_id
 ), judged AS (
   SELECT lower(replace(n_name, '_', '-')) AS supermarket, coalesce(saved, 0) AS saved, coalesce(extracted, 0) AS extracted,
          greatest(n_nationkey * 200, 1) AS floor_n
@@ -777,10 +777,10 @@ FROM judged"""
 
 def store_gate() -> str:
     return """
-WITH listed AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'A')
-SELECT count(*) AS stores, count(*) FILTER (WHERE l_suppkey IS NULL) AS failures,
-       count(*) FILTER (WHERE l_suppkey IS NULL) <= count(*) * 0.2 AS gate_ok
-FROM supplier LEFT JOIN listed ON l_suppkey = s_suppkey"""
+WITH listed AS (SELECT DISTINCT o_custkey FROM orders)
+SELECT count(*) AS stores, count(*) FILTER (WHERE o_custkey IS NULL) AS failures,
+       count(*) FILTER (WHERE o_custkey IS NULL) <= count(*) * 0.2 AS gate_ok
+FROM customer LEFT JOIN listed ON o_custkey = c_custkey"""
 
 
 def runners_up() -> str:

@@ -20,7 +20,7 @@ from shelfwise.operators.search import search, search_hits
 from shelfwise.operators.upsert import save
 from shelfwise.plans import oracles, testbed
 from shelfwise.plans.testbed import CITIES, GROCERY_TERMS, pick, postal_code, table
-from shelfwise.session import new_shared_path, spread
+from shelfwise.session import materialize, new_shared_path, spread
 from shelfwise.sources import cards, feeds, json_bodies, jsonld, links
 from shelfwise.sources import catalogue_csv as csv
 from shelfwise.sources import merge_sources as merge
@@ -478,8 +478,9 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
             lambda i: F.concat(F.lit("w"), i.cast("string")),
         ).alias("warnings"),
     )
-    runs = gates.check_runs(requested, lines, warnings)
-    passed = gates.passing(lines, runs).groupBy("supermarket_slug").agg(F.count("*").alias("passed"))
+    lines = materialize(lines.select("supermarket_slug"), "lines")
+    runs = materialize(gates.check_runs(requested, lines, warnings), "runs")
+    passed =gates.passing(lines, runs).groupBy("supermarket_slug").agg(F.count("*").alias("passed"))
     return (
         runs.join(passed, "supermarket_slug", "left")
         .fillna({"passed": 0})
@@ -514,10 +515,8 @@ def offer_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.lit("S"), F.lpad(F.col(c).cast("string"), 12, "0"))
 
     selected = table(spark, sf_dir, "supplier").select(store_no("s_suppkey").alias("n"))
-    lists = (
-        table(spark, sf_dir, "lineitem")
-        .filter(F.col("l_returnflag") == "R")
-        .select(store_no("l_suppkey").alias("store_n"), F.col("l_partkey").cast("string").alias("kl_nr"))
+    lists = table(spark, sf_dir, "lineitem").select(
+        store_no("l_suppkey").alias("store_n"), F.col("l_partkey").cast("string").alias("kl_nr")
     )
     found = stores_src.attach_availability(offers, selected, lists)
     return found.select("kl_nr", F.array_join("store_external_ids", ",").alias("stores"))
@@ -724,7 +723,7 @@ def feed_kaufland(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("jsonld_products", oracles.jsonld_products())
 def jsonld_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every part as an ld+json block in a stored page: alone, in an array, a list or a graph."""
+    """Every stored page, and every part as an ld+json block in one: alone, in an array, a list or a graph."""
     c = _cols()
     key, text = c["key"], c["text"]
     quoted_price = F.replace(F.col("p_retailprice").cast("string"), F.lit("."), F.lit(","))
@@ -751,13 +750,14 @@ def jsonld_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = (
         table(spark, sf_dir, "part")
         .select(key.alias("page_id"), block.alias("block"))
-        .join(stored, "page_id", "left")
+        .join(stored, "page_id", "full")
         .select(
             "page_id",
             F.lit("https://shop.example.com/x").alias("url"),
-            F.concat(
-                F.coalesce("html", F.lit("")),
-                F.lit('<script type="application/ld+json">'), "block", F.lit("</script>"),
+            F.concat_ws(
+                "",
+                "html",
+                F.concat(F.lit('<script type="application/ld+json">'), "block", F.lit("</script>")),
             ).alias("html"),
         )
     )
@@ -976,12 +976,13 @@ def save_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     chains, _, lines = feed_batches(spark, sf_dir)
     key = F.substring_index("supermarket_slug", "-", -1).cast("bigint")
-    runs = gates.check_runs(chains.select("supermarket_slug", (key * 200).alias("min_products")), lines)
+    lines = materialize(lines.select("supermarket_slug", "external_id"), "lines")
+    asked = chains.select("supermarket_slug", (key * 200).alias("min_products"))
+    runs = materialize(gates.check_runs(asked, lines), "runs")
     saved = (
         gates.passing(lines, runs)
-        .filter(F.col("price") > 1000)
         .groupBy("supermarket_slug")
-        .agg(F.count("*").alias("products"))
+        .agg(F.count_distinct("external_id").alias("products"))
     )
     log = gates.append_runs(empty_catalog(spark).scrape_runs, runs, saved, *_BATCH_TIMES)
     return log.select("id", "supermarket", "status", "products_found")
@@ -989,12 +990,9 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("store_gate", oracles.store_gate())
 def store_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    selected = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("store_n"))
-    lists = (
-        table(spark, sf_dir, "lineitem")
-        .filter((F.col("l_quantity") > 49) & (F.col("l_returnflag") == "A"))
-        .select(F.col("l_suppkey").alias("store_n"))
-    )
+    """Customers as selected stores; the orders say whose list was read."""
+    selected = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("store_n"))
+    lists = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("store_n"))
     return gates.store_failures_ok(selected, lists)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +19,10 @@ from shelfwise.functions.numbers import is_sane_price, round_half_up
 from shelfwise.functions.text import absolute_url, blank_to_null, js_trim, origin_of
 from shelfwise.functions.units import unit_from_name
 from shelfwise.schemas import HARVESTED_COLUMNS
+from shelfwise.session import materialize
+
+#: items a worker turns into one frame at a time
+SLICE_ROWS = 4096
 
 # Member names tried in order, and the patterns of price members.
 NAME_KEYS = ["name", "productName", "title", "displayName", "fullTitle", "label", "denumire"]
@@ -132,13 +137,14 @@ _COLUMNS = [c.split()[0] for c in ITEM_SCHEMA.split(", ")]
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [
+        rows = (
             r
             for b in batch.itertuples(index=False)
             for r in _rows_of(b.body_id, b.url, b.body)
-        ]
-        out = pd.DataFrame(rows, columns=_COLUMNS)
-        yield out.astype({"raw_price": "float64"})
+        )
+        for some in batched(rows, SLICE_ROWS):
+            out = pd.DataFrame(some, columns=_COLUMNS)
+            yield out.astype({"raw_price": "float64"})
 
 
 def listed_items(bodies: DataFrame) -> DataFrame:
@@ -163,7 +169,7 @@ def price_scales(items: DataFrame) -> DataFrame:
 
 def products_from_json(bodies: DataFrame) -> DataFrame:
     """Harvested products of captured JSON bodies, with (body_id, item_seq)."""
-    items = listed_items(bodies)
+    items = materialize(listed_items(bodies), "items")  # read twice, walked once
     origin = origin_of(F.col("url"))
     priced = items.join(price_scales(items), ["body_id", "array_idx"]).filter(
         F.col("name").isNotNull() & F.col("raw_price").isNotNull()

@@ -33,22 +33,24 @@ def empty_catalog(spark: SparkSession) -> Catalog:
 
 
 _POINTER = "_versions"
-_POINTER_SCHEMA = "number bigint, version string, batch_id bigint"
+_POINTER_SCHEMA = "number bigint, version string, batch_id bigint, stream string"
 
 
-def write_snapshot(catalog: Catalog, root: str, batch_id: int | None = None) -> str:
+def write_snapshot(
+    catalog: Catalog, root: str, batch_id: int | None = None, stream: str | None = None
+) -> str:
     """Write every table under a new version; the pointer row is published last.
 
     Readers follow the pointer, so a job that dies half-way leaves the previous
     version in force, and the version being read is never overwritten. The
-    pointer row also names the stream batch it holds, if any.
+    pointer row also names the stream and the batch it holds, if any.
     """
     spark = catalog.spark
     version = uuid.uuid4().hex
     for f in fields(Catalog):
         getattr(catalog, f.name).write.parquet(f"{root}/{version}/{f.name}")
     number = 1 + max((row["number"] for row in _top(spark, root)), default=0)
-    pointer = spark.createDataFrame([(number, version, batch_id)], _POINTER_SCHEMA)
+    pointer = spark.createDataFrame([(number, version, batch_id, stream)], _POINTER_SCHEMA)
     pointer.coalesce(1).write.mode("append").parquet(f"{root}/{_POINTER}")
     return version
 
@@ -64,9 +66,12 @@ def _top(spark: SparkSession, root: str) -> list:
     return _pointers(spark, root).orderBy(F.desc("number")).limit(1).collect()
 
 
-def last_batch(spark: SparkSession, root: str) -> int:
-    """Highest stream batch published so far, -1 for none."""
-    top = _pointers(spark, root).agg(F.max("batch_id").alias("b")).first()["b"]
+def last_batch(spark: SparkSession, root: str, stream: str | None = None) -> int:
+    """Highest batch published so far by ``stream`` (None: by any), -1 for none."""
+    rows = _pointers(spark, root)
+    if stream is not None:
+        rows = rows.filter(F.col("stream") == stream)
+    top = rows.agg(F.max("batch_id").alias("b")).first()["b"]
     return -1 if top is None else top
 
 

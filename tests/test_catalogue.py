@@ -159,10 +159,11 @@ def test_one_batch_or_many(spark):
 def test_previous_across_chunks_and_dense_ids(spark):
     rows = [(k, s, float(s * 7 % 13)) for k in ("hot", "cold") for s in range(0, 500 if k == "hot" else 9)]
     df = spark.createDataFrame(rows, "k string, seq bigint, v double").repartition(5)
-    got = with_previous(df, ["k"], "v", "seq", "prev", chunk_bits=4).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        assert r.prev == (None if r.seq == 0 else float((r.seq - 1) * 7 % 13))
+    for parts in (1, 40):  # the hot key lies in one chunk, and in some forty
+        got = with_previous(df, ["k"], "v", "seq", "prev", parts=parts).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r.prev == (None if r.seq == 0 else float((r.seq - 1) * 7 % 13))
     ids = assign_ids(df.select("k", "seq"), 10, ["seq", "k"]).orderBy("seq", "k").collect()
     assert [r.id for r in ids] == list(range(11, 11 + len(rows)))
 
@@ -270,3 +271,9 @@ def test_stream_equals_batch_and_replays_once(spark, tmp_path):
     after = read_snapshot(spark, root)
     assert after.price_history.count() == live.price_history.count() + 1
     assert after.products.filter("external_id = '9'").count() == 0
+    write(landing / "c.csv", header + row("lidl", 3, 8))
+    lost = str(tmp_path / "new_state")  # batch ids start at 0 again, the stream has another id
+    ingest_stream(spark, str(landing), root, lost, DAY2).awaitTermination()
+    last = read_snapshot(spark, root)
+    assert [r.price for r in last.products.filter("external_id = '3'").join(last.prices, F.col("id") == F.col("product_id")).collect()] == [8.0]
+    assert last.products.filter("external_id = '9'").count() == 1
