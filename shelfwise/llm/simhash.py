@@ -15,6 +15,12 @@ shared folder.
 Null or wordless text has the fingerprint zero and is linked like any other. Repeated rows are
 copies. Null ids never name a component unless it has no other. An empty table gives no rows;
 extra columns are ignored.
+
+Those settings are op4's. The pipeline's stage (:func:`one_of_each`) takes what holds for word
+shingles in general: sets of five-word shingles, linked from a Jaccard similarity of 0.8. No bit
+radius bounds that similarity, so candidates come from a prefix filter, which misses no pair: two
+such sets share one of the first fifth of their shingles in any one order, here the rare ones
+first. Every link is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -40,22 +46,40 @@ PIECES = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 CROWDED = 4096
 #: fingerprints looked at to find crowded signatures: one in so many (results do not depend on it)
 LOOK = 16
+#: words of the stage's shingles, and the least Jaccard similarity of its links as a fraction
+STAGE_SHINGLE = 5
+SIMILAR = (4, 5)
+#: sets with one shingle from which it counts as common, and how many common shingles are ordered by
+#: frequency (results depend on neither)
+COMMON = 1000
+RANKED = 100_000
 
 
-def fingerprint(text: str | None) -> int:
-    """Majority bits of the XXH64 of word shingles; a bit needs more than half of them."""
-    words = (text or "").encode("utf-8").lower().split()  # bytes: A-Z and ASCII white space only
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8").lower().split()  # bytes: A-Z and ASCII white space only
+
+
+def _hashes(words: list[bytes], width: int) -> np.ndarray:
+    """XXH64 of every run of ``width`` words; of all words if there are fewer."""
     n = len(words)
-    if not n:
-        return 0
     joined = b" ".join(words)
-    if n <= SHINGLE:
-        return xxhash.xxh64_intdigest(joined, SEED)
+    if n <= width:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    starts = np.concatenate(([0], ends[: n - SHINGLE] + 1))
+    starts = np.concatenate(([0], ends[: n - width] + 1))
     digest = xxhash.xxh64_intdigest
-    spans = zip(starts.tolist(), ends[SHINGLE - 1 :].tolist())
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n - SHINGLE + 1)
+    spans = zip(starts.tolist(), ends[width - 1 :].tolist())
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, n - width + 1)
+
+
+def fingerprint(text: str | None) -> int:
+    """Majority bits of the XXH64 of word shingles; a bit needs more than half of them."""
+    words = _words(text)
+    if not words:
+        return 0
+    hashes = _hashes(words, SHINGLE)
+    if len(hashes) == 1:
+        return int(hashes[0])
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         octets = hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
@@ -165,10 +189,8 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", crowded: int = CROWDED) -> DataFrame:
-    """(fp, root, component_id) for every distinct fingerprint of materialised ``docs`` (id, fp)."""
-    copies = materialize(docs.groupBy("fp").agg(F.min(id_col).alias("least")), "copies")
-    roots = components(links(copies.select("fp"), crowded))
+def _named(copies: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of every row of ``copies`` (fp, least), from the ``roots`` of linked ones."""
     linked = copies.join(roots, "fp")
     names = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(names, "root").select("fp", "root", "component_id")
@@ -177,6 +199,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", crowded: int = CROWDED) -> D
     )
 
 
+def groups(docs: DataFrame, id_col: str = "doc_id", crowded: int = CROWDED) -> DataFrame:
+    """(fp, root, component_id) for every distinct fingerprint of materialised ``docs`` (id, fp)."""
+    copies = materialize(docs.groupBy("fp").agg(F.min(id_col).alias("least")), "copies")
+    return _named(copies, components(links(copies.select("fp"), crowded)))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
     """(id, fingerprint, component_id): fingerprint as 16 hex digits, smallest id reachable by links."""
     docs = materialize(fingerprints(df, id_col, text_col), "fingerprints")
@@ -185,20 +213,114 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``df`` with one document of each group: that with the smallest id."""
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the five-word shingles of a text; none of a wordless one."""
+    words = _words(text)
+    return np.unique(_hashes(words, STAGE_SHINGLE)) if words else np.empty(0, np.uint64)
+
+
+def _with_sets(df: DataFrame, text_col: str) -> DataFrame:
+    """Rows of ``df`` with the shingle set of their text (``__set``) and its hash (``__fp``)."""
     bound_batches(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, T.StructField("__fp", T.LongType(), False)])
+    more = [T.StructField("__fp", T.LongType(), False), T.StructField("__set", T.ArrayType(T.LongType(), False), False)]
+    schema = T.StructType([*df.schema.fields, *more])
     at = df.columns.index(text_col)
 
     def run(batches):
         for part in slices(batches):
-            bits = np.array([fingerprint(x) for x in part.column(at).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(bits.view(np.int64))], [f.name for f in schema])
+            sets = [shingle_set(x) for x in part.column(at).to_pylist()]
+            keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys.view(np.int64)), lists], [f.name for f in schema])
+
+    return df.mapInArrow(run, schema)
+
+
+def _common(sets: DataFrame, common: int, ranked: int) -> np.ndarray:
+    """Hashes of common shingles, the commonest last."""
+    looked = sets.filter(F.pmod(F.xxhash64("fp"), F.lit(LOOK)) == 0).select(F.explode("set").alias("sig"))
+    often = looked.groupBy("sig").count().filter(F.col("count") * LOOK > common)
+    rows = often.orderBy(F.desc("count"), "sig").limit(ranked).collect()
+    return np.array([r["sig"] for r in reversed(rows)], np.int64)
+
+
+def _prefixes(sets: DataFrame, common: np.ndarray) -> DataFrame:
+    """(fp, n, sig): of each set of n shingles those of which similar sets share at least one."""
+    bound_batches(sets.sparkSession)
+    by_hash = np.argsort(common)
+    shared = sets.sparkSession.sparkContext.broadcast((common[by_hash], by_hash + 1))
+    part_of, whole = SIMILAR
+
+    def run(batches):
+        known, ranks = shared.value
+        for part in slices(batches):
+            column = part.column(1)
+            flat, counts = column.flatten().to_numpy(), column.value_lengths().to_numpy()
+            rank = np.zeros(len(flat), np.int64)
+            if len(known) and len(flat):
+                place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                rank = np.where(known[place] == flat, ranks[place], 0)
+            taken = counts - -(-part_of * counts // whole) + (counts > 0)
+            sigs, start = [np.empty(0, np.int64)], 0
+            for n, k in zip(counts.tolist(), taken.tolist()):
+                own = flat[start : start + n]
+                sigs.append(own[np.argsort(rank[start : start + n], kind="stable")[:k]])
+                start += n
+            keys, sizes = np.repeat(part.column(0).to_numpy(), taken), np.repeat(counts, taken).astype(np.int32)
+            columns = [pa.array(keys), pa.array(sizes), pa.array(np.concatenate(sigs))]
+            yield pa.RecordBatch.from_arrays(columns, ["fp", "n", "sig"])
+
+    return sets.select("fp", "set").mapInArrow(run, "fp bigint, n int, sig bigint")
+
+
+def _fit(a: str, b: str) -> F.Column:
+    """Sets of these sizes can be similar."""
+    part_of, whole = SIMILAR
+    return F.least(a, b) * whole >= F.greatest(a, b) * part_of
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the (u, v) pairs whose whole sets are similar."""
+    part_of, whole = SIMILAR
+    left, right = sets.select(F.col("fp").alias("u"), F.col("set").alias("a")), sets.select(F.col("fp").alias("v"), F.col("set").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    near = both * (part_of + whole) >= (F.size("a") + F.size("b")) * part_of
+    return pairs.join(left, "u").join(right, "v").filter(near).select("u", "v")
+
+
+def similar_roots(sets: DataFrame, common: int = COMMON, ranked: int = RANKED) -> DataFrame:
+    """(fp, root) of every set similar to another; ``sets``: materialised distinct (fp, set).
+
+    First each set meets the least set of its signatures, which joins large groups in linear
+    work. Then the sets of a signature that lie in different components meet one another.
+    """
+    sigs = materialize(_prefixes(sets, _common(sets, common, ranked)), "prefixes")
+    hubs = sigs.groupBy("sig").agg(F.min(F.struct("fp", "n")).alias("hub"), F.max("fp").alias("last"))
+    hubs = hubs.filter("hub.fp < last").select("sig", "hub")
+    met = materialize(sigs.join(hubs, "sig"), "met")
+    first = met.filter((F.col("hub.fp") < F.col("fp")) & _fit("hub.n", "n"))
+    first = first.select(F.col("hub.fp").alias("u"), F.col("fp").alias("v")).distinct()
+    found = materialize(_similar(first, sets), "similar")
+    roots = components(found)
+    placed = met.join(roots, "fp", "left").select("fp", "n", "sig", F.coalesce("root", "fp").alias("root"))
+    mixed = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    rest = materialize(placed.join(mixed, "sig", "left_semi"), "mixed")
+    condition = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.root") != F.col("b.root"))
+    more = rest.alias("a").join(rest.alias("b"), condition & _fit("a.n", "b.n"))
+    more = more.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
+    more = materialize(_similar(more.join(first, ["u", "v"], "left_anti"), sets), "similar")
+    return roots if more.isEmpty() else components(found.union(more))
 
-    rows = materialize(df.mapInArrow(run, schema), "fingerprinted")
-    named = groups(rows.select(F.col(id_col).alias("id"), F.col("__fp").alias("fp")), "id").select(
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``df`` with one document of each group of similar ones: that with the smallest id."""
+    rows = materialize(_with_sets(df, text_col), "shingled")
+    copies = rows.groupBy(F.col("__fp").alias("fp")).agg(F.min(id_col).alias("least"), F.first("__set").alias("set"))
+    copies = materialize(copies, "copies")
+    named = _named(copies.select("fp", "least"), similar_roots(copies.select("fp", "set"))).select(
         F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__least")
     )
-    kept = rows.join(named, "__fp").filter(F.col(id_col).eqNullSafe(F.col("__least")))
+    kept = rows.drop("__set").join(named, "__fp").filter(F.col(id_col).eqNullSafe(F.col("__least")))
     return kept.dropDuplicates(["__root"]).select(*df.columns)
