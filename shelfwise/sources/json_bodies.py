@@ -10,6 +10,7 @@ import json
 import re
 from collections.abc import Iterator
 from itertools import batched
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,13 +37,27 @@ PREFERRED_PRICE_KEY = re.compile(
     r"(^|[._])(price|pret|sellingprice|currentprice|finalprice)", re.IGNORECASE
 )
 PRICE_TEXT = re.compile(r"^\d+([.,]\d+)?$", re.ASCII)
-# Depth of the walk, elements entered per array, and what makes a list of products.
-MAX_DEPTH = 8
-ENTERED = 50
+# What makes a list of products.
 MIN_OBJECTS = 3
-SAMPLE = 10
 GOOD_SHARE = 0.6
-PRICE_DEPTH = 3
+
+
+class Limits(NamedTuple):
+    """Optional cuts of the walk; None is no cut. A longer text is no text, or cut if it is rendered."""
+
+    depth: int | None = None  # levels walked
+    entered: int | None = None  # elements entered per array that is no product list
+    sample: int | None = None  # objects a list is judged on
+    price_depth: int | None = None  # levels of price members
+    name: int | None = None  # characters, as all that follow
+    external_id: int | None = None
+    brand: int | None = None
+    category: int | None = None
+    address: int | None = None
+
+
+#: the walk of the reference
+REFERENCE_LIMITS = Limits(8, 50, 10, 3, 300, 100, 100, 150, 2000)
 
 ITEM_SCHEMA = (
     "body_id bigint, url string, array_idx int, item_idx int, name string, raw_price double, "
@@ -50,10 +65,11 @@ ITEM_SCHEMA = (
 )
 
 
-def text_of(value: object, longest: int) -> str | None:
+def text_of(value: object, longest: int | None = None) -> str | None:
     """Usable text of a member: a string, a named or rendered object, or a first element."""
     if isinstance(value, str):
-        return value.strip() if len(value.strip()) >= 2 and len(value) <= longest else None
+        fits = longest is None or len(value) <= longest
+        return value.strip() if len(value.strip()) >= 2 and fits else None
     if isinstance(value, dict):
         named, rendered = value.get("name"), value.get("rendered")
         if isinstance(named, str) and named.strip():
@@ -70,86 +86,157 @@ def text_of(value: object, longest: int) -> str | None:
     return None
 
 
-def first_text(obj: dict, keys: list[str], longest: int = 300) -> str | None:
+def first_text(obj: dict, keys: list[str], longest: int | None = None) -> str | None:
     found = (text_of(obj.get(k), longest) for k in keys)
     return next((t for t in found if t is not None), None)
 
 
-def price_members(obj: dict, path: str = "", depth: int = 0) -> Iterator[tuple[str, float]]:
-    for key, value in obj.items():
-        where = f"{path}.{key}" if path else key
-        if not PRICE_KEY.search(where):
-            continue
-        if isinstance(value, (int, float)) and not isinstance(value, bool):
-            yield where, float(value)
-        elif isinstance(value, str) and PRICE_TEXT.match(value.strip()):
-            yield where, float(value.strip().replace(",", "."))
-        elif isinstance(value, dict) and depth < PRICE_DEPTH:
-            yield from price_members(value, where, depth + 1)
+def price_members(obj: dict, max_depth: int | None = None) -> Iterator[tuple[str, float]]:
+    stack = [("", iter(obj.items()))]
+    while stack:
+        path, members = stack[-1]
+        for key, value in members:
+            where = f"{path}.{key}" if path else key
+            if not PRICE_KEY.search(where):
+                continue
+            if isinstance(value, (int, float)) and not isinstance(value, bool):
+                yield where, float(value)
+            elif isinstance(value, str) and PRICE_TEXT.match(value.strip()):
+                yield where, float(value.strip().replace(",", "."))
+            elif isinstance(value, dict) and (max_depth is None or len(stack) <= max_depth):
+                stack.append((where, iter(value.items())))
+                break
+        else:
+            stack.pop()
 
 
-def price_of(obj: dict) -> float | None:
+def price_of(obj: dict, max_depth: int | None = None) -> float | None:
     """Positive price of the member that says so most plainly, the shortest path first."""
-    found = [m for m in price_members(obj) if m[1] > 0]
+    found = [m for m in price_members(obj, max_depth) if m[1] > 0]
     best = min(
         found, key=lambda m: (PREFERRED_PRICE_KEY.search(m[0]) is None, len(m[0])), default=None
     )
     return None if best is None else best[1]
 
 
-def product_lists(value: object, depth: int = 0) -> Iterator[list[dict]]:
-    if depth > MAX_DEPTH:
-        return
-    if isinstance(value, list):
-        objects = [x for x in value if isinstance(x, dict)]
-        if len(objects) >= MIN_OBJECTS:
-            sample = objects[:SAMPLE]
-            good = sum(1 for o in sample if first_text(o, NAME_KEYS) and price_of(o) is not None)
-            if good / len(sample) >= GOOD_SHARE:
-                yield objects
-                return
-        inner = value[:ENTERED]
-    elif isinstance(value, dict):
-        inner = list(value.values())
-    else:
-        return
-    for x in inner:
-        yield from product_lists(x, depth + 1)
+def product_lists(value: object, limits: Limits = Limits()) -> Iterator[list[dict]]:
+    """Product lists in document order; nothing is looked for inside one."""
+    stack = [(value, 0)]
+    while stack:
+        value, depth = stack.pop()
+        if limits.depth is not None and depth > limits.depth:
+            continue
+        if isinstance(value, list):
+            objects = [x for x in value if isinstance(x, dict)]
+            if len(objects) >= MIN_OBJECTS:
+                sample = objects[: limits.sample]
+                good = sum(
+                    1
+                    for o in sample
+                    if first_text(o, NAME_KEYS, limits.name) and price_of(o, limits.price_depth) is not None
+                )
+                if good / len(sample) >= GOOD_SHARE:
+                    yield objects
+                    continue
+            inner = value[: limits.entered]
+        elif isinstance(value, dict):
+            inner = list(value.values())
+        else:
+            continue
+        stack.extend((x, depth + 1) for x in reversed(inner) if isinstance(x, (dict, list)))
+
+
+_SPACE = re.compile(r"[ \t\n\r]*")
 
 
-def _rows_of(body_id: int, url: str | None, body: str) -> Iterator[tuple]:
+def _loads_deep(body: str) -> object:
+    """``json.loads`` with a stack of its own, for bodies nested deeper than the interpreter allows."""
+    scalar = json.JSONDecoder().raw_decode
+    root: list = []
+    stack: list[tuple] = [(root, None)]  # open containers, and the key each has in its parent
+
+    def put(value: object, key: object) -> None:
+        held = stack[-1][0]
+        held.append(value) if isinstance(held, list) else held.__setitem__(key, value)
+
+    at, fresh, value_due, key = 0, False, True, None  # fresh: just opened, may close at once
+    while True:
+        at = _SPACE.match(body, at).end()
+        c, held = body[at : at + 1], stack[-1][0]
+        if len(stack) == 1 and not value_due:
+            if c:
+                raise ValueError(f"extra data at {at}")
+            return root[0]
+        closing = "]" if isinstance(held, list) else "}"
+        if len(stack) > 1 and c == closing and (fresh or not value_due):
+            stack.pop()
+            at, fresh, value_due = at + 1, False, False
+            continue
+        if not value_due:
+            if c != ",":
+                raise ValueError(f"comma expected at {at}")
+            at, value_due, fresh = at + 1, True, False
+            continue
+        if isinstance(held, dict):
+            if c != '"':
+                raise ValueError(f"key expected at {at}")
+            key, at = scalar(body, at)
+            at = _SPACE.match(body, at).end()
+            if body[at : at + 1] != ":":
+                raise ValueError(f"colon expected at {at}")
+            at = _SPACE.match(body, at + 1).end()
+            c = body[at : at + 1]
+        if c and c in "[{":
+            opened: list | dict = [] if c == "[" else {}
+            put(opened, key)
+            stack.append((opened, key))
+            at, fresh, value_due = at + 1, True, True
+        else:
+            value, at = scalar(body, at)
+            put(value, key)
+            fresh, value_due = False, False
+
+
+def _loads(body: str) -> object:
     try:
-        data = json.loads(body)
-    except (TypeError, ValueError, RecursionError):
+        return json.loads(body)
+    except RecursionError:
+        return _loads_deep(body)
+
+
+def _rows_of(body_id: int, url: str | None, body: str, limits: Limits = Limits()) -> Iterator[tuple]:
+    try:
+        data = _loads(body)
+    except (TypeError, ValueError):
         return
-    for array_idx, objects in enumerate(product_lists(data)):
+    for array_idx, objects in enumerate(product_lists(data, limits)):
         for item_idx, o in enumerate(objects):
             yield (
-                body_id, url, array_idx, item_idx, first_text(o, NAME_KEYS), price_of(o),
-                first_text(o, ID_KEYS, 100), first_text(o, BRAND_KEYS, 100),
-                first_text(o, CATEGORY_KEYS, 150), first_text(o, IMAGE_KEYS, 2000),
-                first_text(o, URL_KEYS, 2000),
+                body_id, url, array_idx, item_idx, first_text(o, NAME_KEYS, limits.name),
+                price_of(o, limits.price_depth), first_text(o, ID_KEYS, limits.external_id),
+                first_text(o, BRAND_KEYS, limits.brand), first_text(o, CATEGORY_KEYS, limits.category),
+                first_text(o, IMAGE_KEYS, limits.address), first_text(o, URL_KEYS, limits.address),
             )
 
 
 _COLUMNS = [c.split()[0] for c in ITEM_SCHEMA.split(", ")]
 
 
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = (
-            r
-            for b in batch.itertuples(index=False)
-            for r in _rows_of(b.body_id, b.url, b.body)
-        )
-        for some in batched(rows, SLICE_ROWS):
-            out = pd.DataFrame(some, columns=_COLUMNS)
-            yield out.astype({"raw_price": "float64"})
+def listed_items(bodies: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Objects of the product lists in ``bodies`` (body_id, url, body)."""
 
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = (
+                r
+                for b in batch.itertuples(index=False)
+                for r in _rows_of(b.body_id, b.url, b.body, limits)
+            )
+            for some in batched(rows, SLICE_ROWS):
+                out = pd.DataFrame(some, columns=_COLUMNS)
+                yield out.astype({"raw_price": "float64"})
 
-def listed_items(bodies: DataFrame) -> DataFrame:
-    """Objects of the product lists in ``bodies`` (body_id, url, body)."""
-    return bodies.select("body_id", "url", "body").mapInPandas(_walk, ITEM_SCHEMA)
+    return bodies.select("body_id", "url", "body").mapInPandas(walk, ITEM_SCHEMA)
 
 
 def price_scales(items: DataFrame) -> DataFrame:
@@ -167,9 +254,9 @@ def price_scales(items: DataFrame) -> DataFrame:
     )
 
 
-def products_from_json(bodies: DataFrame) -> DataFrame:
+def products_from_json(bodies: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Harvested products of captured JSON bodies, with (body_id, item_seq)."""
-    items = materialize(listed_items(bodies), "items")  # read twice, walked once
+    items = materialize(listed_items(bodies, limits), "items")  # read twice, walked once
     origin = origin_of(F.col("url"))
     priced = items.join(price_scales(items), ["body_id", "array_idx"]).filter(
         F.col("name").isNotNull() & F.col("raw_price").isNotNull()

@@ -115,6 +115,45 @@ def test_json_lists_and_scale(spark):
     assert json_bodies.price_of({"value": 3, "oldprice": 9, "current.price": "7,5", "prices": {"price": {"x": {"value": 1}}}}) == 7.5
 
 
+def test_json_walk_has_no_cuts(spark):
+    def items(n, **extra):
+        return [{"title": f"Produs {i}", "price": 1.5 + i, **extra} for i in range(n)]
+
+    late = {"a": [*[[k] for k in range(60)], {"x": items(3)}]}  # behind element 50
+    deep = items(4)
+    for _ in range(12):
+        deep = {"in": [deep]}
+    bottomless = '{"in":[' * 30000 + json.dumps(items(3)) + "]}" * 30000
+    judged = [{"title": "fără preț"}] * 10 + items(20)  # ten bad objects, then twenty good ones
+    long = items(3, sku="s" * 150, brand="b" * 150, category="c" * 200)
+    for x in long:
+        x["title"] += " y" * 200
+    nested = [{"title": f"Produs {i}", "price": {"price": {"price": {"price": {"price": 3.5}}}}} for i in range(3)]
+    bodies = spark.createDataFrame(
+        [(i, SHOP, b if isinstance(b, str) else json.dumps(b)) for i, b in enumerate([late, deep, bottomless, judged, long, nested])],
+        "body_id bigint, url string, body string",
+    )
+    got = {}
+    for r in json_bodies.products_from_json(bodies).collect():
+        got.setdefault(r.body_id, []).append(r)
+    assert {i: len(rows) for i, rows in got.items()} == {0: 3, 1: 4, 2: 3, 3: 20, 4: 3, 5: 3}
+    assert all((len(r.external_id), len(r.brand), len(r.category)) == (150, 150, 200) and len(r.name) > 400 for r in got[4])
+    assert json_bodies.products_from_json(bodies, json_bodies.REFERENCE_LIMITS).count() == 0
+
+
+def test_deep_json_reads_like_json():
+    good = ['{"a": [1, -2.5e3, {"b": null}, [], {}], "c": "x\\n\\u00e9", "a2": true}', "[]", " [1 , 2] ", "3", '"x"', "{}", '{"a":1,"a":2}']
+    for text in good:
+        assert json_bodies._loads_deep(text) == json.loads(text)
+    for text in ["", "[1,]", "{,}", '{"a"}', '{"a":}', "[1 2]", "[", "]", "[1]]", '{"a":1,}', "[1}", "{1:2}", "[,1]"]:
+        for read in (json.loads, json_bodies._loads_deep):
+            try:
+                read(text)
+            except ValueError:
+                continue
+            raise AssertionError(text)
+
+
 def test_cards(spark):
     html = """<div class="product-grid"><div class="card-a"><h3>Lapte Zuzu</h3>
       <div class="price"><span>12</span><sup>99</sup> lei</div><img src="/i.png"><a href="/p/1">x</a></div>
