@@ -27,12 +27,10 @@ CARD_TAGS = ("article", "li")
 TITLE_TAGS = ("h1", "h2", "h3", "h4")
 TITLE_CLASSES = ("title", "name", "denumire")
 PRICE_CLASSES = ("price", "pret")
-LONGEST_CARD = 600
-PRICE_DECIMAL = r"(?i)(\d{1,4}[.,]\d{2})\s*(?:lei|ron)"
-PRICE_WHOLE = r"(?i)(\d{1,4})\s*(?:lei|ron)"
-BARE_DECIMAL = r"(\d{1,4}[.,]\d{2})(?!\d)"
-SPLIT_DECIMAL = r"(\d{1,4})\s+(\d{2})(?!\d)"
-LONGEST_NAME = 200
+PRICE_DECIMAL = r"(?i)(?<!\d)(\d+[.,]\d{2})\s*(?:lei|ron)"
+PRICE_WHOLE = r"(?i)(?<!\d)(\d+)\s*(?:lei|ron)"
+BARE_DECIMAL = r"(?<!\d)(\d+[.,]\d{2})(?!\d)"
+SPLIT_DECIMAL = r"(?<!\d)(\d+)\s+(\d{2})(?!\d)"
 SHORTEST_NAME = 4
 
 _BREAKS = frozenset(
@@ -117,7 +115,7 @@ def _first(nodes: Iterator[_Node], test) -> _Node | None:
     return next((n for n in nodes if test(n)), None)
 
 
-def leaf_cards(html: str) -> Iterator[tuple]:
+def leaf_cards(html: str, longest_card: int | None = None) -> Iterator[tuple]:
     builder = _Builder()
     builder.feed(html)
     builder.close()
@@ -127,7 +125,7 @@ def leaf_cards(html: str) -> Iterator[tuple]:
         if _first(el.below(), lambda n: n.has_class(INNER_CLASSES) or n.tag == "article"):
             continue
         text = el.text()
-        if len(text) > LONGEST_CARD:
+        if longest_card is not None and len(text) > longest_card:
             continue
         price = _first(el.below(), lambda n: n.has_class(PRICE_CLASSES))
         bits = [] if price is None else [p.strip() for p in price.pieces()]
@@ -146,20 +144,20 @@ def leaf_cards(html: str) -> Iterator[tuple]:
 _COLUMNS = [c.split()[0] for c in CARD_SCHEMA.split(", ")]
 
 
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [
-            (p.page_id, p.url, i, *card)
-            for p in batch.itertuples(index=False)
-            if isinstance(p.html, str)
-            for i, card in enumerate(leaf_cards(p.html))
-        ]
-        yield pd.DataFrame(rows, columns=_COLUMNS)
+def card_texts(pages: DataFrame, longest_card: int | None = None) -> DataFrame:
+    """Leaf cards of ``pages`` (page_id, url, html) with their raw texts; longer cards are left out."""
 
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [
+                (p.page_id, p.url, i, *card)
+                for p in batch.itertuples(index=False)
+                if isinstance(p.html, str)
+                for i, card in enumerate(leaf_cards(p.html, longest_card))
+            ]
+            yield pd.DataFrame(rows, columns=_COLUMNS)
 
-def card_texts(pages: DataFrame) -> DataFrame:
-    """Leaf cards of ``pages`` (page_id, url, html) with their raw texts."""
-    return pages.select("page_id", "url", "html").mapInPandas(_walk, CARD_SCHEMA)
+    return pages.select("page_id", "url", "html").mapInPandas(walk, CARD_SCHEMA)
 
 
 def _match(text: Column, pattern: str) -> Column:
@@ -180,14 +178,14 @@ def card_price(text: Column, price_text: Column) -> Column:
             _match(price_text, PRICE_DECIMAL),
             _match(price_text, BARE_DECIMAL),
             F.nullif(pair, F.lit("")),
-            _match(price_text, r"(\d{1,4})"),
+            _match(price_text, r"(\d+)"),
         )
     )
     in_text = parse_price(F.coalesce(_match(text, PRICE_DECIMAL), _match(text, PRICE_WHOLE)))
     return F.when(own > 0, own).otherwise(in_text)
 
 
-def card_name(text: Column, title: Column) -> Column:
+def card_name(text: Column, title: Column, longest_name: int | None = None) -> Column:
     """Title of a card, else its longest plausible line."""
     lines = F.filter(
         F.transform(F.split(text, "\n"), js_trim),
@@ -197,7 +195,8 @@ def card_name(text: Column, title: Column) -> Column:
         lines, F.lit(""), lambda best, s: F.when(F.length(s) > F.length(best), s).otherwise(best)
     )
     name = F.when(js_trim(title) != "", title).otherwise(longest)
-    return F.substring(js_trim(F.regexp_replace(name, f"[{JS_SPACE}]+", " ")), 1, LONGEST_NAME)
+    plain = js_trim(F.regexp_replace(name, f"[{JS_SPACE}]+", " "))
+    return plain if longest_name is None else F.substring(plain, 1, longest_name)
 
 
 def _absolute(link: Column, page_url: Column) -> Column:
@@ -212,14 +211,16 @@ def _absolute(link: Column, page_url: Column) -> Column:
     )
 
 
-def products_from_cards(pages: DataFrame) -> DataFrame:
+def products_from_cards(
+    pages: DataFrame, longest_card: int | None = None, longest_name: int | None = None
+) -> DataFrame:
     """Harvested products of page cards; per page the first of equal (name, price) stays."""
-    cards = card_texts(pages)
+    cards = card_texts(pages, longest_card)
     rows = cards.select(
         "page_id",
         F.col("card_idx").alias("item_seq"),
         F.lit(None).cast("string").alias("external_id"),
-        card_name(F.col("text"), F.col("title")).alias("name"),
+        card_name(F.col("text"), F.col("title"), longest_name).alias("name"),
         F.lit(None).cast("string").alias("brand"),
         card_price(F.col("text"), F.col("price_text")).alias("price"),
         F.lit(None).cast("double").alias("old_price"),
@@ -238,9 +239,9 @@ def products_from_cards(pages: DataFrame) -> DataFrame:
 OWN_PRICE = r"(?i)(\d+(?:[.,]\d{1,2})?)\s*(?:lei|ron)"
 
 
-def offers_from_cards(pages: DataFrame) -> DataFrame:
+def offers_from_cards(pages: DataFrame, longest_card: int | None = None) -> DataFrame:
     """Cards of a chain's own pages: a titled card with ``N lei`` in its text."""
-    cards = card_texts(pages)
+    cards = card_texts(pages, longest_card)
     name = js_trim(F.col("title"))
     rows = cards.select(
         "page_id",

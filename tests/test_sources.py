@@ -167,6 +167,20 @@ def test_cards(spark):
     assert ("unt-gras", 8.0) in [(r.external_id, r.price) for r in own]
 
 
+def test_cards_have_no_cuts(spark):
+    name = "Lapte " + "foarte " * 40 + "bun"
+    html = (
+        f'<li><b class="title">{name}</b> 12345,99 lei</li><li><b class="title">Unt gras</b>{" text" * 200} 20500 lei</li>'
+        '<div class="product-card"><h3>Frigider</h3><p class="price"><span>12345</span><sup>99</sup> lei</p></div>'
+        '<div class="product-card"><h3>Cuptor</h3><p class="price">23456.50</p></div>'
+        '<div class="product-card"><h3>Plita</h3><p class="price">23456</p></div>'
+    )
+    rows = cards.products_from_cards(pages(spark, html)).orderBy("item_seq").collect()
+    assert [(r.name, r.price) for r in rows] == [(name, 12345.99), ("Unt gras", 20500.0), ("Frigider", 12345.99), ("Cuptor", 23456.5), ("Plita", 23456.0)]
+    cut = cards.products_from_cards(pages(spark, html), longest_card=600, longest_name=200).orderBy("item_seq").collect()
+    assert [r.name for r in cut] == [name[:200], "Frigider", "Cuptor", "Plita"]
+
+
 def test_links(spark):
     html = (
         '<a href="/oferte/lapte?x=1#top">a</a><a href="/oferte/lapte?x=1">again</a><a href="https://SHOP.example.com/Oferte/ouă">b</a>'
