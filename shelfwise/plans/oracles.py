@@ -709,6 +709,10 @@ WITH p AS (
 SELECT site, link, row_number() OVER (PARTITION BY site ORDER BY found_at) AS link_no FROM d QUALIFY link_no <= 12"""
 
 
+def page_links_all() -> str:
+    return page_links().removesuffix(" QUALIFY link_no <= 12")
+
+
 def stream_ingest() -> str:
     return f"""
 WITH {VIEWS}

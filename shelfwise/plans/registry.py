@@ -865,12 +865,23 @@ def merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("product_key", "source_rank", "price")
 
 
-@register("page_links", oracles.page_links())
-def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _site_links(spark: SparkSession, sf_dir: str, max_links: int | None) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(
         F.lower(origin_of(F.col("url"))).alias("site"), F.col("page_id").alias("page_seq"), "url", "html"
     )
-    return longs(links.page_links(pages, "(?i)/[a-s]", 12), "link_no")
+    return longs(links.page_links(pages, "(?i)/[a-s]", max_links), "link_no")
+
+
+@register("page_links", oracles.page_links())
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twelve links of each site."""
+    return _site_links(spark, sf_dir, 12)
+
+
+@register("page_links_all", oracles.page_links_all())
+def page_links_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link of each site."""
+    return _site_links(spark, sf_dir, None)
 
 
 # ---------------------------------------------------------------- streaming

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.text import origin_of
-from shelfwise.operators.keyed import first_per_key
+from shelfwise.operators.keyed import assign_ids, first_per_key
+from shelfwise.session import broadcast_if_small, materialize
 
 # Links, static files, and per site the paths to follow and how many.
 HREF = r'href="(https?://[^"]+|/[^"]+)"'
@@ -33,7 +34,7 @@ def _encoded(url: Column) -> Column:
 
 
 def page_links(pages: DataFrame, discover: str, max_links: int | None) -> DataFrame:
-    """(site, link_no, link): new links of each site in page order, the site's budget at most.
+    """(site, link_no, link): new links of each site in page order, the site's budget at most if there is one.
 
     ``pages``: site, page_seq, url, html. Same-origin links whose path matches
     ``discover`` and is no static file; fragments are dropped.
@@ -60,9 +61,12 @@ def page_links(pages: DataFrame, discover: str, max_links: int | None) -> DataFr
     )
     order = ["page_seq", "pos"]
     new = first_per_key(links.select("site", "link", *order), ["site", "link"], order)
+    if max_links is None:  # a site may have any number, so no window over a site
+        numbered = materialize(assign_ids(new, 0, ["site", *order, "link"], "_id"), "links")
+        first = broadcast_if_small(numbered.groupBy("site").agg(F.min("_id").alias("_first")))
+        number = (F.col("_id") - F.col("_first") + 1).cast("int")
+        return numbered.join(first, "site").select("site", number.alias("link_no"), "link")
     numbered = new.withColumn(
         "link_no", F.row_number().over(Window.partitionBy("site").orderBy(*order))
     )
-    if max_links is not None:
-        numbered = numbered.filter(F.col("link_no") <= max_links)
-    return numbered.select("site", "link_no", "link")
+    return numbered.filter(F.col("link_no") <= max_links).select("site", "link_no", "link")

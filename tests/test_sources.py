@@ -205,3 +205,16 @@ def test_merge_order(spark):
     page = source((1, 0, "A", "Lapte", 6.0), (1, 1, None, "Suc Bun", 3.0), (1, 2, "suc-bun", "Suc", 4.0), (2, 0, "B", "Unt", 9.0))
     got = {r.product_key: r.price for r in merge_sources.merge_sources(api, page).collect()}
     assert got == {"A": 6.0, "suc-bun": 3.0, "B": 9.0}
+
+
+def test_all_links_of_a_site(spark):
+    htmls = ["".join(f'<a href="/oferte/{p}-{i}">x</a>' for i in range(30)) for p in range(3)]
+    df = pages(spark, *htmls).select(F.when(F.col("page_id") < 2, "a").otherwise("b").alias("site"), F.col("page_id").alias("page_seq"), "url", "html")
+    got = links.page_links(df, "(?i)/oferte", None).orderBy("site", "link_no").collect()
+    want = [("a", p * 30 + i + 1, f"https://shop.example.com/oferte/{p}-{i}") for p in range(2) for i in range(30)]
+    want += [("b", i + 1, f"https://shop.example.com/oferte/2-{i}") for i in range(30)]
+    assert [tuple(r) for r in got] == want
+
+    from shelfwise.plans import oracles, registry
+
+    assert "page_links_all" in registry.QUERIES and "QUALIFY" not in oracles.page_links_all()
