@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +11,10 @@ from pyspark.sql import functions as F
 from shelfwise.llm import (
     bpe,
     decontaminate,
+    embedding_dedup,
     language_id,
+    periodic_runs,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     sharding,
@@ -83,6 +88,34 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality_classifier.score_documents(docs, model), quality_classifier, GOOD_AT)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation c begins with the first turns, crc32(c) % 6 of them, of c - c % 100."""
+    conv = F.col("conv")
+    head = F.crc32(conv.cast("string")) % 6
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"), base=conv - conv % 100, head=head)
+
+
+def with_planted_run(doc_id: int | None, text: bytes | None) -> list[bytes]:
+    """Words of a text; those of about every tenth document repeat a stretch from some word on."""
+    words = periodic_runs.split_words(doc_id, text)
+    n, h = len(words), 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(read_table(spark, sf_dir, "documents"), words_of=with_planted_run)
+    return periodic_runs.with_digests(found)
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -96,6 +129,9 @@ QUERIES = {
         op8_decontamination,
         op9_toxicity,
         op10_quality,
+        op11_prefix_trie,
+        op12_periodic_runs,
+        op13_embedding_dedup,
     )
 }
 

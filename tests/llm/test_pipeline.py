@@ -15,7 +15,7 @@ def test_queries_are_registered():
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {n.partition("_")[0] for n in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {n.partition("_")[0] for n in QUERIES}
     assert set(QUERIES) <= set(names) and "pipeline" in names
     assert "op2_quality_rules" in __spark_entry__.oracle_sql()
 
