@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, fields, replace
+from dataclasses import astuple, dataclass, fields, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise import schemas
@@ -34,25 +34,104 @@ def empty_catalog(spark: SparkSession) -> Catalog:
 
 _POINTER = "_versions"
 _POINTER_SCHEMA = "number bigint, version string, batch_id bigint, stream string"
+_MANIFEST = "_manifest"
+_MANIFEST_SCHEMA = "table string, chain bigint, bucket int, buckets int, path string, last_id bigint"
+
+#: tables whose rows belong to one chain, and those that are dealt over buckets of a chain besides
+BY_CHAIN, BY_BUCKET = ("stores", "products", "prices"), ("products", "prices")
+#: buckets of a chain in a root that a batch is merged into for the first time
+BUCKETS = 8
+
+
+@dataclass(frozen=True)
+class Part:
+    """Files of one table that hold one bucket of one chain; without a chain, rows of any."""
+
+    table: str
+    chain: int | None
+    bucket: int | None
+    buckets: int | None
+    path: str
+    #: greatest id in it, if the table has ids
+    last_id: int | None
+
+
+def bucket_of(external_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(external_id), F.lit(buckets)).cast("int")
 
 
 def write_snapshot(
     catalog: Catalog, root: str, batch_id: int | None = None, stream: str | None = None
 ) -> str:
-    """Write every table under a new version; the pointer row is published last.
+    """Write every table whole under a new version; the pointer row is published last.
 
-    Readers follow the pointer, so a job that dies half-way leaves the previous
-    version in force, and the version being read is never overwritten. The
-    pointer row also names the stream and the batch it holds, if any.
+    Readers follow the pointer and the version's manifest of parts, so a job that dies half-way leaves
+    the previous version in force, and files in use are never overwritten. The pointer row also names
+    the stream and the batch it holds, if any. :func:`write_increment` replaces single parts.
     """
     spark = catalog.spark
     version = uuid.uuid4().hex
+    parts = []
     for f in fields(Catalog):
-        getattr(catalog, f.name).write.parquet(f"{root}/{version}/{f.name}")
+        path = f"{root}/{version}/{f.name}"
+        getattr(catalog, f.name).write.parquet(path)
+        parts.append(Part(f.name, None, None, None, path, None))
+    _publish(spark, root, version, parts, batch_id, stream)
+    return version
+
+
+def write_increment(
+    root: str, old: list[Part], replaced: list[Part], new: Catalog, buckets: int,
+    batch_id: int | None = None, stream: str | None = None,
+) -> list[Part]:
+    """A version in which the tables of ``new`` stand in place of the ``replaced`` parts; all others stay as they are.
+
+    ``new.price_history`` and ``new.scrape_runs`` hold added rows only and become parts of their own.
+    """
+    spark = new.spark
+    version = uuid.uuid4().hex
+    base = f"{root}/{version}"
+    home = new.products.select(
+        F.col("id").alias("product_id"),
+        F.col("supermarket_id").alias("chain"),
+        bucket_of(F.col("external_id"), buckets).alias("bucket"),
+    )
+    frames = {
+        "stores": new.stores.withColumn("chain", F.col("supermarket_id")),
+        "products": new.products.withColumns(
+            {"chain": F.col("supermarket_id"), "bucket": bucket_of(F.col("external_id"), buckets)}
+        ),
+        "prices": new.prices.join(home, "product_id"),
+    }
+    parts = [p for p in old if p not in replaced]
+    for table in ("supermarkets", "price_history", "scrape_runs"):
+        getattr(new, table).write.parquet(f"{base}/{table}")
+        parts.append(Part(table, None, None, None, f"{base}/{table}", None))
+    for table, frame in frames.items():
+        keys = ["chain", "bucket"] if table in BY_BUCKET else ["chain"]
+        path = f"{base}/{table}"
+        # one file per part, more for a large one
+        frame.hint("rebalance", *keys).write.partitionBy(*keys).parquet(path)
+        id_of = "id" if "id" in frame.columns else "product_id"
+        types = ", ".join([schemas.TABLES[table], *[f"{k} {'bigint' if k == 'chain' else 'int'}" for k in keys]])
+        written = spark.read.schema(types).parquet(path).groupBy(*keys).agg(F.max(id_of).alias("last_id"))
+        for r in written.collect():  # one row per part
+            at = "/".join(f"{k}={r[k]}" for k in keys)
+            parts.append(
+                Part(table, r["chain"], r["bucket"] if len(keys) > 1 else None, buckets, f"{path}/{at}", r["last_id"])
+            )
+    _publish(spark, root, version, parts, batch_id, stream)
+    return parts
+
+
+def _publish(
+    spark: SparkSession, root: str, version: str, parts: list[Part], batch_id: int | None, stream: str | None
+) -> None:
+    rows = spark.createDataFrame([astuple(p) for p in parts], _MANIFEST_SCHEMA)
+    rows.coalesce(1).write.parquet(f"{root}/{_MANIFEST}/{version}")
     number = 1 + max((row["number"] for row in _top(spark, root)), default=0)
     pointer = spark.createDataFrame([(number, version, batch_id, stream)], _POINTER_SCHEMA)
     pointer.coalesce(1).write.mode("append").parquet(f"{root}/{_POINTER}")
-    return version
 
 
 def _pointers(spark: SparkSession, root: str) -> DataFrame:
@@ -75,15 +154,26 @@ def last_batch(spark: SparkSession, root: str, stream: str | None = None) -> int
     return -1 if top is None else top
 
 
-def read_snapshot(spark: SparkSession, root: str, version: str | None = None) -> Catalog:
+def read_parts(spark: SparkSession, root: str, version: str | None = None) -> list[Part]:
+    """Parts of the last (or given) version: as many as there are buckets of chains, and added parts."""
     if version is None:
         top = _top(spark, root)
         if not top:
-            return empty_catalog(spark)
+            return []
         version = top[0]["version"]
-    return Catalog(
-        **{
-            name: spark.read.schema(schema).parquet(f"{root}/{version}/{name}")
-            for name, schema in schemas.TABLES.items()
-        }
-    )
+    rows = spark.read.schema(_MANIFEST_SCHEMA).parquet(f"{root}/{_MANIFEST}/{version}")
+    return [Part(**r.asDict()) for r in rows.collect()]
+
+
+def catalog_of(spark: SparkSession, parts: list[Part]) -> Catalog:
+    """The rows of some parts as a catalogue."""
+    tables = {}
+    for name, schema in schemas.TABLES.items():
+        paths = [p.path for p in parts if p.table == name]
+        reader = spark.read.schema(schema)
+        tables[name] = reader.parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return Catalog(**tables)
+
+
+def read_snapshot(spark: SparkSession, root: str, version: str | None = None) -> Catalog:
+    return catalog_of(spark, read_parts(spark, root, version))

@@ -1,5 +1,6 @@
 """CSV rules, merge with history, edits, gates and the stream."""
 
+import os
 from datetime import datetime
 
 import pytest
@@ -8,10 +9,10 @@ from pyspark.sql import functions as F
 from shelfwise import schemas
 from shelfwise.operators import edits, gates, reports
 from shelfwise.operators.keyed import assign_ids, with_previous
-from shelfwise.operators.upsert import save
+from shelfwise.operators.upsert import save, save_increment
 from shelfwise.sources import catalogue_csv as csv
 from shelfwise.sources.offers_csv import column_roles, read_offers_csv
-from shelfwise.sources.snapshot import empty_catalog, last_batch, read_snapshot, write_snapshot
+from shelfwise.sources.snapshot import empty_catalog, last_batch, read_parts, read_snapshot, write_snapshot
 from shelfwise.streaming.ingest import ingest_batch, ingest_stream
 
 DAY1, DAY2 = datetime(2024, 1, 1), datetime(2024, 1, 2)
@@ -277,3 +278,40 @@ def test_stream_equals_batch_and_replays_once(spark, tmp_path):
     last = read_snapshot(spark, root)
     assert [r.price for r in last.products.filter("external_id = '3'").join(last.prices, F.col("id") == F.col("product_id")).collect()] == [8.0]
     assert last.products.filter("external_id = '9'").count() == 1
+
+
+def tables_of(cat):
+    names = ("supermarkets", "stores", "products", "prices", "price_history")
+    return {n: sorted(map(str, getattr(cat, n).collect())) for n in names}
+
+
+def test_increments_leave_other_parts_untouched(spark, tmp_path):
+    def batch(*rows):
+        slugs = sorted({r[0] for r in rows})
+        stores = [(s, 1, "st", "Magazin", "Cluj", None, None, None, None, None) for s in slugs]
+        return chains_in(spark, *slugs), spark.createDataFrame(stores, schemas.STORES_IN), products_in(spark, *rows)
+
+    first = batch(*[(s, i, str(i), f"Lapte {i}", None, "1 l", 5.0 + i, ["st"] if i % 2 else None) for s in ("lidl", "profi") for i in range(30)])
+    second = batch(("lidl", 1, "3", "Lapte 3", None, "1 l", 9.0, None), ("lidl", 2, "new", "Unt", None, "200 g", 7.0, ["st"]))
+    third = batch(("auchan", 1, "a", "Ulei", None, "1 l", 8.0, None), ("profi", 2, "2", "Lapte 2", None, None, 7.0, None))
+    root, dealt = str(tmp_path / "live"), str(tmp_path / "dealt")
+    whole = save(empty_catalog(spark), *first, DAY1).catalog
+    write_snapshot(whole, dealt)  # undealt parts, as a whole snapshot has them
+    save_increment(spark, root, *first, DAY1, buckets=4)
+    assert tables_of(read_snapshot(spark, root)) == tables_of(whole)
+    for step, day in ((second, DAY2), (third, DAY2)):
+        before = set(read_parts(spark, root))
+        files = {p: os.stat(p.path).st_mtime_ns for p in before}
+        whole = save(whole, *step, day).catalog
+        save_increment(spark, root, *step, day)
+        save_increment(spark, dealt, *step, day)
+        after = set(read_parts(spark, root))
+        assert tables_of(read_snapshot(spark, root)) == tables_of(read_snapshot(spark, dealt)) == tables_of(whole)
+        assert all(os.stat(p.path).st_mtime_ns == t for p, t in files.items())
+        gone = before - after
+        assert {p.table for p in gone} == {"supermarkets", "stores", "products", "prices"}
+        if step is second:  # one chain, two products: no other part is written anew
+            assert {p.chain for p in gone if p.table != "supermarkets"} == {1}
+            assert sum(p.table == "products" for p in gone) <= 2
+            assert sum(p.table == "price_history" for p in after) == 2
+    assert read_snapshot(spark, root).products.filter("external_id = 'new'").first().id == 61
