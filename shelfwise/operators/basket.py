@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.numbers import round_half_up
 from shelfwise.functions.text import alternative_stem, js_trim
-from shelfwise.operators.search import best_per_chain, with_product_details
-from shelfwise.session import broadcast_if_small, materialize
+from shelfwise.operators.search import best_per_chain
+from shelfwise.session import materialize
 from shelfwise.sources.snapshot import Catalog
 
 _WANT = ["query", "city", "county"]
@@ -28,11 +28,6 @@ def assemble_baskets(events: DataFrame) -> DataFrame:
     )
 
 
-def basket_totals(lines: DataFrame) -> DataFrame:
-    """Total number of items per basket."""
-    return lines.groupBy("basket_id").agg(F.sum("qty").alias("item_total"))
-
-
 def valid_lines(lines: DataFrame, max_items: int | None = None) -> DataFrame:
     """Lines with a non-blank query, numbered per basket.
 
@@ -62,44 +57,47 @@ def _asked(lines: DataFrame) -> DataFrame:
     return pairs.select(F.struct(*_WANT).alias("query_id"), F.col("query").alias("q"), "city", "county")
 
 
-def _answers(cat: Catalog, asked: DataFrame, pick: str) -> DataFrame:
-    """Every asked (query, place) with its list of (chain, price or NULL)."""
-    found = best_per_chain(cat, asked, strict=True, pick=pick)
-    chains = broadcast_if_small(cat.supermarkets.select(F.col("id").alias("supermarket_id")))
-    return (
-        asked.select("query_id")
-        .crossJoin(chains)
-        .join(found, ["query_id", "supermarket_id"], "left")
-    )
+def _every_chain(cat: Catalog) -> Column:
+    """All chains as one array, by name: as many as a basket's answer lists."""
+    entry = F.struct("name", F.col("id").alias("supermarket_id"), "slug")
+    return cat.supermarkets.agg(F.sort_array(F.collect_list(entry)).alias("chains")).scalar()
 
 
-def _answer_lists(cat: Catalog, asked: DataFrame, pick: str) -> DataFrame:
-    """Every asked (query, place) with one array of (chain, price or NULL) over all chains."""
-    hits = (
-        best_per_chain(cat, asked, strict=True, pick=pick)
-        .groupBy("query_id")
-        .agg(F.collect_list(F.struct("supermarket_id", "price")).alias("hits"))
-    )
-    every = cat.supermarkets.agg(F.collect_list("id").alias("every_chain"))  # one row
-    found = F.coalesce(F.col("hits"), F.array().cast("array<struct<supermarket_id:bigint,price:double>>"))
-    missing = F.transform(
-        F.array_except("every_chain", F.col("found")["supermarket_id"]),
-        lambda c: F.struct(c.alias("supermarket_id"), F.lit(None).cast("double").alias("price")),
-    )
-    return (
-        asked.select("query_id")
-        .join(hits, "query_id", "left")
-        .select("query_id", found.alias("found"))
-        .crossJoin(F.broadcast(every))
-        .select("query_id", F.concat("found", missing).alias("chains"))
-    )
+def _without(every: Column, found: Column) -> Column:
+    """The chains whose ids are not in ``found``."""
+    return F.filter(every, lambda c: ~F.array_contains(found, c["supermarket_id"]))
+
+
+def _lists(rows: DataFrame, *columns: str) -> DataFrame:
+    """(query_id, chains): one array per (query, place), of the chains that have a row only."""
+    return rows.groupBy("query_id").agg(F.collect_list(F.struct(*columns)).alias("chains"))
 
 
-def _join_lines(lines: DataFrame, answers: DataFrame) -> DataFrame:
+def _join_lines(lines: DataFrame, answers: DataFrame, how: str = "inner") -> DataFrame:
     keyed = answers.select(*[F.col(f"query_id.{c}").alias(f"a_{c}") for c in _WANT], "chains")
     on = [F.col("query") == F.col("a_query")]
     on += [F.col(c).eqNullSafe(F.col(f"a_{c}")) for c in ("city", "county")]
-    return lines.join(keyed, on).drop("a_query", "a_city", "a_county")
+    return lines.join(keyed, on, how).drop("a_query", "a_city", "a_county")
+
+
+def _per_basket(lines: DataFrame, lists: DataFrame, empty: str, **sums: Column) -> DataFrame:
+    """(basket_id, item_count, found): sums over a basket's lines for every chain in their lists.
+
+    ``found`` is an array of (supermarket_id, sums), at most as long as there are chains. Lines of one
+    basket and chain are added up before they move, so neither a popular query nor a large basket is
+    gathered; chains in no list have no row. One entry without a chain counts the lines.
+    """
+    counting = F.array(F.lit(None).cast(empty))
+    entries = F.concat(counting, F.coalesce("chains", F.array().cast(f"array<{empty}>")))
+    rows = _join_lines(lines, lists, "left").select("basket_id", "qty", F.explode(entries).alias("c"))
+    per_chain = rows.groupBy("basket_id", F.col("c.supermarket_id").alias("supermarket_id")).agg(
+        F.count("*").alias("n"), *[e.alias(k) for k, e in sums.items()]
+    )
+    one = F.struct("supermarket_id", *sums)
+    return per_chain.groupBy("basket_id").agg(
+        F.max(F.when(F.col("supermarket_id").isNull(), F.col("n"))).alias("item_count"),
+        F.collect_list(F.when(F.col("supermarket_id").isNotNull(), one)).alias("found"),
+    )
 
 
 def compare_baskets(
@@ -107,34 +105,44 @@ def compare_baskets(
 ) -> DataFrame:
     """Total, coverage and rank of every chain for every basket.
 
-    The distinct (query, place) pairs are answered once. Lines meet their answers
-    as one array per line; totals are partial sums per (basket, chain) before the
-    shuffle. The chains (a small dimension) are part of the result: each basket
-    lists all of them.
+    The distinct (query, place) pairs are answered once, with the chains that have something only;
+    sums are made for those, and what a chain without anything gets is derived as the last ranks.
     """
     lines = valid_lines(lines, max_items)
-    answers = _answer_lists(cat, _asked(lines), pick)
-    per_chain = (
-        _join_lines(lines, answers)
-        .select("basket_id", "qty", "chains")
-        .select("basket_id", "qty", F.inline("chains"))
-        .groupBy("basket_id", "supermarket_id")
-        .agg(
-            round_half_up(F.coalesce(F.sum(F.col("price") * F.col("qty")), F.lit(0.0)), 2).alias(
-                "total"
-            ),
-            F.count("price").alias("found_count"),
-            F.count("*").alias("item_count"),
-        )
+    found = _lists(best_per_chain(cat, _asked(lines), strict=True, pick=pick), "supermarket_id", "price")
+    sums = _per_basket(
+        lines,
+        found,
+        "struct<supermarket_id:bigint,price:double>",
+        total=round_half_up(F.coalesce(F.sum(F.col("c.price") * F.col("qty")), F.lit(0.0)), 2),
+        found_count=F.count("c.price"),
     )
-    chains = cat.supermarkets.select(F.col("id").alias("supermarket_id"), "slug", "name")
-    order = Window.partitionBy("basket_id").orderBy(
-        F.desc("found_count"), "total", "name", "supermarket_id"
+    every = _every_chain(cat)
+    named = F.transform(  # the chain's name decides ties
+        "found",
+        lambda x: F.struct(
+            (-x["found_count"]).alias("less"),
+            x["total"].alias("total"),
+            F.filter(F.col("every"), lambda c: c["supermarket_id"] == x["supermarket_id"])[0].alias("chain"),
+        ),
     )
-    return (
-        per_chain.join(broadcast_if_small(chains), "supermarket_id")
-        .withColumn("missing_count", F.col("item_count") - F.col("found_count"))
-        .withColumn("chain_rank", F.row_number().over(order))
+    missing = _without(F.col("every"), F.col("found.supermarket_id"))
+    ranked = sums.withColumn("every", every).select(
+        "basket_id", "item_count", F.sort_array(named).alias("ranked"), missing.alias("missing")
+    )
+
+    def row(chain: Column, total: Column, count: Column, rank: Column) -> Column:
+        return F.struct(
+            chain["supermarket_id"].alias("supermarket_id"), total.alias("total"), count.alias("found_count"),
+            chain["slug"].alias("slug"), chain["name"].alias("name"), rank.cast("int").alias("chain_rank"),
+        )
+
+    rows = F.concat(
+        F.transform("ranked", lambda x, i: row(x["chain"], x["total"], -x["less"], i + 1)),
+        F.transform("missing", lambda c, i: row(c, F.lit(0.0), F.lit(0).cast("bigint"), F.size("ranked") + i + 1)),
+    )
+    return ranked.select("basket_id", "item_count", F.inline(rows)).withColumn(
+        "missing_count", F.col("item_count") - F.col("found_count")
     )
 
 
@@ -185,17 +193,77 @@ def answer_items(cat: Catalog, lines: DataFrame, pick: str = "best_rank") -> Dat
     Columns: query, city, county, supermarket_id, product_id, store_id, price,
     alt_product_id, alt_store_id, alt_price.
     """
-    answered = _answers(cat, _asked(lines), pick).select(
-        "query_id.*", "supermarket_id", "product_id", "store_id", "price"
+    asked = _asked(lines)
+    found = materialize(
+        best_per_chain(cat, asked, strict=True, pick=pick).select(
+            "query_id", "supermarket_id", "product_id", "store_id", "price"
+        ),
+        "answers",
     )
-    answered = materialize(answered, "answers")
+    missed = _missed(cat, asked, found)
     keys = [*_WANT, "supermarket_id"]
-    alts = alternatives(cat, answered.filter(F.col("product_id").isNull()).select(*keys))
+    alts = alternatives(cat, missed)
     a = alts.select(
         *[F.col(c).alias(f"m_{c}") for c in keys], "alt_product_id", "alt_store_id", "alt_price"
     )
     on = [F.col(c).eqNullSafe(F.col(f"m_{c}")) for c in keys]
-    return answered.join(a, on, "left").drop(*[f"m_{c}" for c in keys])
+    others = missed.join(a, on, "left").drop(*[f"m_{c}" for c in keys])
+    return found.select("query_id.*", *[c for c in found.columns if c != "query_id"]).unionByName(
+        others, allowMissingColumns=True
+    )
+
+
+def _missed(cat: Catalog, asked: DataFrame, found: DataFrame) -> DataFrame:
+    """(query, city, county, supermarket_id): the complement of what was found, chain by chain."""
+    has = found.groupBy("query_id").agg(F.collect_list("supermarket_id").alias("has"))
+    none = F.array().cast("array<bigint>")
+    left = asked.select("query_id").join(has, "query_id", "left").withColumn("every", _every_chain(cat))
+    gone = _without(F.col("every"), F.coalesce("has", none))
+    return left.select("query_id.*", F.explode(gone["supermarket_id"]).alias("supermarket_id"))
+
+
+def missing_counts(cat: Catalog, lines: DataFrame, pick: str = "best_rank") -> DataFrame:
+    """Missing items per basket and chain, and how many of them have an alternative, for all chains.
+
+    As :func:`missing_report` of :func:`compare_items`, without a row per line and chain: only chains
+    with a product or an alternative are listed, all others miss the whole basket.
+    """
+    lines = valid_lines(lines)
+    items = answer_items(cat, lines, pick).withColumns(
+        {
+            "query_id": F.struct(*_WANT),
+            "found": F.when(F.col("product_id").isNotNull(), 1).otherwise(0),
+            "other": F.when(F.col("alt_product_id").isNotNull(), 1).otherwise(0),
+        }
+    )
+    lists = _lists(items.filter("found + other > 0"), "supermarket_id", "found", "other")
+    sums = _per_basket(
+        lines,
+        lists,
+        "struct<supermarket_id:bigint,found:int,other:int>",
+        found_count=F.sum("c.found"),
+        alternative_count=F.sum("c.other"),
+    ).withColumn("every", _every_chain(cat))
+    zero = F.lit(0).cast("bigint")
+    rows = F.concat(
+        F.transform(
+            "found",
+            lambda x: F.struct(
+                x["supermarket_id"].alias("supermarket_id"),
+                (F.col("item_count") - x["found_count"]).alias("missing_count"),
+                x["alternative_count"].alias("alternative_count"),
+            ),
+        ),
+        F.transform(
+            _without(F.col("every"), F.col("found.supermarket_id")),
+            lambda c: F.struct(
+                c["supermarket_id"].alias("supermarket_id"),
+                F.col("item_count").alias("missing_count"),
+                zero.alias("alternative_count"),
+            ),
+        ),
+    )
+    return sums.select("basket_id", F.inline(rows))
 
 
 def compare_items(cat: Catalog, lines: DataFrame, pick: str = "best_rank") -> DataFrame:
@@ -243,8 +311,3 @@ def missing_report(items: DataFrame) -> DataFrame:
         F.count_if(missing).alias("missing_count"),
         F.count_if(missing & F.col("alt_product_id").isNotNull()).alias("alternative_count"),
     )
-
-
-def item_details(cat: Catalog, items: DataFrame) -> DataFrame:
-    """Display fields of the products found by :func:`compare_items`."""
-    return with_product_details(cat, items.filter(F.col("product_id").isNotNull()))

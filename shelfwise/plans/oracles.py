@@ -9,6 +9,7 @@ from __future__ import annotations
 from shelfwise.functions.categories import CATEGORY_RULES, FALLBACK
 from shelfwise.functions.geo import CITY_COUNTY, POSTAL_PREFIX_COUNTY
 from shelfwise.functions.text import NO_POSITION, fold_table
+from shelfwise.functions.units import MULTIPACK, PIECE, SINGLE, UNIT_WORDS
 from shelfwise.plans.testbed import CITIES, FEED_EPOCH, GROCERY_TERMS
 
 
@@ -65,24 +66,11 @@ def county_of(code: str) -> str:
 TERM = pick(GROCERY_TERMS, "p_partkey")
 PART_NAME = f"(p_name || ' ' || {TERM})"
 
-_NUM = r"(\d+(?:[.,]\d+)?)"
-_WORD = r"(kg|gr?|mg|ml|cl|l|litri|litru|buc(?:ata|ati)?|set|role|oua)"
-_MULTI = rf"(\d+)\s*x\s*{_NUM}\s*{_WORD}\b"
-_ONE = rf"{_NUM}\s*{_WORD}\b"
-_FACTOR = {
-    "kg": 1.0, "g": 0.001, "gr": 0.001, "mg": 0.000001, "l": 1.0, "litri": 1.0, "litru": 1.0,
-    "ml": 0.001, "cl": 0.01, "buc": 1.0, "bucati": 1.0, "bucata": 1.0, "set": 1.0, "role": 1.0,
-    "oua": 1.0,
-}
-_BASE = {
-    "kg": "kg", "g": "kg", "gr": "kg", "mg": "kg", "l": "l", "litri": "l", "litru": "l",
-    "ml": "l", "cl": "l", "buc": "buc", "bucati": "buc", "bucata": "buc", "set": "buc",
-    "role": "buc", "oua": "buc",
-}
+_BASES = {word: base for word, (base, _) in UNIT_WORDS.items()}
 
 
 def _factor(word: str) -> str:
-    whens = " ".join(f"WHEN {lit(k)} THEN CAST({v!r} AS DOUBLE)" for k, v in _FACTOR.items())
+    whens = " ".join(f"WHEN {lit(k)} THEN CAST({v!r} AS DOUBLE)" for k, (_, v) in UNIT_WORDS.items())
     return f"CASE {word} {whens} END"
 
 
@@ -92,15 +80,15 @@ def _num(x: str) -> str:
 
 def parsed_unit(t: str) -> tuple[str, str]:
     """(quantity, unit) expressions for a normalised pack text."""
-    multi = f"regexp_matches({t}, {lit(_MULTI)})"
-    one = f"regexp_matches({t}, {lit(_ONE)})"
-    piece = f"regexp_matches({t}, {lit(r'\bbuc(ata)?\b')})"
+    multi = f"regexp_matches({t}, {lit(MULTIPACK)})"
+    one = f"regexp_matches({t}, {lit(SINGLE)})"
+    piece = f"regexp_matches({t}, {lit(PIECE)})"
 
     def m(i: int) -> str:
-        return f"regexp_extract({t}, {lit(_MULTI)}, {i})"
+        return f"regexp_extract({t}, {lit(MULTIPACK)}, {i})"
 
     def o(i: int) -> str:
-        return f"regexp_extract({t}, {lit(_ONE)}, {i})"
+        return f"regexp_extract({t}, {lit(SINGLE)}, {i})"
 
     quantity = (
         f"CASE WHEN {multi} THEN {round3(f'TRY_CAST({m(1)} AS DOUBLE) * {_num(m(2))} * {_factor(m(3))}')} "
@@ -108,7 +96,7 @@ def parsed_unit(t: str) -> tuple[str, str]:
         f"WHEN {piece} THEN 1.0::DOUBLE END"
     )
     unit = (
-        f"CASE WHEN {multi} THEN {lookup(_BASE, m(3))} WHEN {one} THEN {lookup(_BASE, o(2))} "
+        f"CASE WHEN {multi} THEN {lookup(_BASES, m(3))} WHEN {one} THEN {lookup(_BASES, o(2))} "
         f"WHEN {piece} THEN 'buc' END"
     )
     return quantity, unit
@@ -706,11 +694,7 @@ WITH p AS (
     AND NOT regexp_matches(link, '(?i)\.(pdf|jpg|png|webp|css|js)(\?|$)')
   GROUP BY ALL
 )
-SELECT site, link, row_number() OVER (PARTITION BY site ORDER BY found_at) AS link_no FROM d QUALIFY link_no <= 12"""
-
-
-def page_links_all() -> str:
-    return page_links().removesuffix(" QUALIFY link_no <= 12")
+SELECT site, link, row_number() OVER (PARTITION BY site ORDER BY found_at) AS link_no FROM d"""
 
 
 def stream_ingest() -> str:

@@ -147,11 +147,18 @@ def search_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("search_prefix", oracles.search_sql(oracles.TERM_ROWS, prefix=True))
+def search_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the whole term begins a word of the name."""
+    return _search(spark, sf_dir, term_queries(spark).withColumn("prefix", F.lit(True)))
+
+
 _STEMS = oracles.TERM_ROWS.replace("AS q FROM", "[1:4] AS q FROM")
 
 
-@register("search_prefix", oracles.search_sql(_STEMS, prefix=True))
-def search_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register("search_stem", oracles.search_sql(_STEMS, prefix=True))
+def search_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix search as one types: the first four characters so far."""
     stems = term_queries(spark).select(
         "query_id", F.substring("q", 1, 4).alias("q"), F.lit(True).alias("prefix")
     )
@@ -205,8 +212,7 @@ def basket_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("basket_missing", oracles.basket_missing())
 def basket_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = basket.compare_items(testbed.catalog(spark, sf_dir), basket_lines(spark, sf_dir))
-    return basket.missing_report(items)
+    return basket.missing_counts(testbed.catalog(spark, sf_dir), basket_lines(spark, sf_dir))
 
 
 @register("alternatives", oracles.alternatives())
@@ -480,7 +486,7 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     lines = materialize(lines.select("supermarket_slug"), "lines")
     runs = materialize(gates.check_runs(requested, lines, warnings), "runs")
-    passed =gates.passing(lines, runs).groupBy("supermarket_slug").agg(F.count("*").alias("passed"))
+    passed = gates.passing(lines, runs).groupBy("supermarket_slug").agg(F.count("*").alias("passed"))
     return (
         runs.join(passed, "supermarket_slug", "left")
         .fillna({"passed": 0})
@@ -865,23 +871,16 @@ def merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("product_key", "source_rank", "price")
 
 
-def _site_links(spark: SparkSession, sf_dir: str, max_links: int | None) -> DataFrame:
+@register("page_links", oracles.page_links())
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link of each site."""
     pages = table(spark, sf_dir, "pages").select(
         F.lower(origin_of(F.col("url"))).alias("site"), F.col("page_id").alias("page_seq"), "url", "html"
     )
-    return longs(links.page_links(pages, "(?i)/[a-s]", max_links), "link_no")
-
-
-@register("page_links", oracles.page_links())
-def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twelve links of each site."""
-    return _site_links(spark, sf_dir, 12)
+    return longs(links.page_links(pages, "(?i)/[a-s]", None), "link_no")
 
 
-@register("page_links_all", oracles.page_links_all())
-def page_links_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every link of each site."""
-    return _site_links(spark, sf_dir, None)
+QUERIES["page_links_all"], ORACLES["page_links_all"] = page_links, oracles.page_links()  # its former name
 
 
 # ---------------------------------------------------------------- streaming

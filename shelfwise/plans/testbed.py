@@ -38,6 +38,13 @@ GROCERY_TERMS = (
     "suc de portocale", "bere blonda", "vin rosu", "cafea boabe", "ceai verde", "detergent lichid",
     "balsam de rufe", "servetele umede", "sampon", "sapun lichid", "pasta de dinti", "scutece",
     "hrana uscata pisici", "baterii", "lumanari", "caiete",
+    "kefir natural", "smantana grasa", "branza de burduf", "mozzarella", "margarina", "lipie",
+    "covrigi cu sare", "croissant", "muschi file", "aripi picante", "mici proaspeti", "crenvursti",
+    "sunca presata", "macrou afumat", "salata iceberg", "castraveti lungi", "morcovi spalati", "usturoi",
+    "spanac", "ciuperci brune", "portocale", "lamai", "kiwi", "prune uscate", "nuca miez", "alune prajite",
+    "malai grisat", "griș fin", "linte verde", "naut", "bulion de tomate", "mustar iute", "ketchup dulce",
+    "maioneza", "dulceata de caise", "gem de visine", "napolitane", "popcorn", "chipsuri", "bomboane",
+    "limonada", "whisky", "lichior de cafea", "balsam de par", "gel de dus", "saci menajeri",
 )
 
 CITIES = [c.title() for c in CITY_COUNTY]
