@@ -16,11 +16,7 @@ Null or wordless text has the fingerprint zero and is linked like any other. Rep
 copies. Null ids never name a component unless it has no other. An empty table gives no rows;
 extra columns are ignored.
 
-Those settings are op4's. The pipeline's stage (:func:`one_of_each`) takes what holds for word
-shingles in general: sets of five-word shingles, linked from a Jaccard similarity of 0.8. No bit
-radius bounds that similarity, so candidates come from a prefix filter, which misses no pair: two
-such sets share one of the first fifth of their shingles in any one order, here the rare ones
-first. Every link is verified on the whole sets, which are built only for texts that met another.
+Those settings are op4's; the pipeline's stage is :mod:`shelfwise.llm.near_copies`.
 """
 
 from __future__ import annotations
@@ -33,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfwise.llm.common import bound_batches, slices
-from shelfwise.session import broadcast_if_small, materialize
+from shelfwise.session import materialize
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -46,13 +42,8 @@ PIECES = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 CROWDED = 4096
 #: fingerprints looked at to find crowded signatures: one in so many (results do not depend on it)
 LOOK = 16
-#: words of the stage's shingles, and the least Jaccard similarity of its links as a fraction
+#: words of the pipeline stage's shingles
 STAGE_SHINGLE = 5
-SIMILAR = (4, 5)
-#: sets with one shingle from which it counts as common, and how many common shingles are ordered by
-#: frequency (results depend on neither)
-COMMON = 32
-RANKED = 100_000
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -217,123 +208,3 @@ def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the five-word shingles of a text; none of a wordless one."""
     words = _words(text)
     return np.unique(_hashes(words, STAGE_SHINGLE)) if words else np.empty(0, np.uint64)
-
-
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
-    flat = np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-
-
-def _sets(texts: DataFrame) -> DataFrame:
-    """(fp, set) of (fp, text)."""
-    bound_batches(texts.sparkSession)
-
-    def run(batches):
-        for part in slices(batches):
-            sets = [shingle_set(x) for x in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), _lists(sets)], ["fp", "set"])
-
-    return texts.select("fp", "text").mapInArrow(run, "fp bigint, set array<bigint>")
-
-
-def _common(df: DataFrame, text_col: str, common: int, ranked: int) -> np.ndarray:
-    """Hashes of common shingles, the commonest last, by one text in :data:`LOOK`."""
-    looked = df.filter(F.pmod(F.xxhash64(text_col), F.lit(LOOK)) == 0)
-    sigs = _sets(looked.select(F.lit(0).cast("long").alias("fp"), F.col(text_col).alias("text"))).select(F.explode("set").alias("sig"))
-    often = sigs.groupBy("sig").count().filter(F.col("count") * LOOK > common)
-    rows = often.orderBy(F.desc("count"), "sig").limit(ranked).collect()
-    return np.array([r["sig"] for r in reversed(rows)], np.int64).view(np.uint64)
-
-
-def _prefix(own: np.ndarray, known: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """Those shingles of a set of which every similar set has at least one in its own prefix."""
-    part_of, whole = SIMILAR
-    n = len(own)
-    if n and len(known):
-        place = np.minimum(np.searchsorted(known, own), len(known) - 1)
-        own = own[np.argsort(np.where(known[place] == own, ranks[place], 0), kind="stable")]
-    return own[: n - -(-part_of * n // whole) + 1]
-
-
-def _with_prefixes(df: DataFrame, text_col: str, common: np.ndarray) -> DataFrame:
-    """Rows of ``df`` with hash, size and prefix (``__fp``, ``__n``, ``__sigs``) of their text's shingle set."""
-    bound_batches(df.sparkSession)
-    long = T.LongType()
-    more = [T.StructField("__fp", long, False), T.StructField("__n", long, False), T.StructField("__sigs", T.ArrayType(long))]
-    schema = T.StructType([*df.schema.fields, *more])
-    at = df.columns.index(text_col)
-    by_hash = np.argsort(common)
-    shared = df.sparkSession.sparkContext.broadcast((common[by_hash], by_hash + 1))
-
-    def run(batches):
-        for part in slices(batches):
-            sets = [shingle_set(x) for x in part.column(at).to_pylist()]
-            keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            sizes = np.array([len(s) for s in sets], np.int64)
-            sigs = _lists([_prefix(s, *shared.value) for s in sets])
-            columns = [*part.columns, pa.array(keys), pa.array(sizes), sigs]
-            yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
-
-    return df.mapInArrow(run, schema)
-
-
-def _fit(a: str, b: str) -> F.Column:
-    """Sets of these sizes can be similar."""
-    part_of, whole = SIMILAR
-    return F.least(a, b) * whole >= F.greatest(a, b) * part_of
-
-
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the (u, v) pairs whose whole sets are similar."""
-    part_of, whole = SIMILAR
-    left, right = sets.select(F.col("fp").alias("u"), F.col("set").alias("a")), sets.select(F.col("fp").alias("v"), F.col("set").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    near = both * (part_of + whole) >= (F.size("a") + F.size("b")) * part_of
-    return pairs.join(left, "u").join(right, "v").filter(near).select("u", "v")
-
-
-def similar_roots(copies: DataFrame, texts: DataFrame) -> DataFrame:
-    """(fp, root) of every set similar to another.
-
-    ``copies``: materialised distinct sets (fp, n, sigs); ``texts``: (fp, text), materialised too.
-
-    First each set meets the least set of its signatures, which joins large groups in linear
-    work. Then the sets of a signature that lie in different components meet one another.
-    """
-    sigs = copies.select("fp", "n", F.explode("sigs").alias("sig"))
-    hubs = sigs.groupBy("sig").agg(F.min(F.struct("fp", "n")).alias("hub"), F.max("fp").alias("last"))
-    hubs = hubs.filter("hub.fp < last").select("sig", "hub")
-    met = materialize(sigs.join(hubs, "sig"), "met")
-    needed = broadcast_if_small(met.select("fp").distinct())
-    sets = materialize(_sets(texts.join(needed, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))), "sets")
-    first = met.filter((F.col("hub.fp") < F.col("fp")) & _fit("hub.n", "n"))
-    first = materialize(first.select(F.col("hub.fp").alias("u"), F.col("fp").alias("v")).distinct(), "pairs")
-    found = materialize(_similar(first, sets), "similar")
-    roots = components(found)
-    placed = met.join(roots, "fp", "left").select("fp", "n", "sig", F.coalesce("root", "fp").alias("root"))
-    mixed = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    rest = materialize(placed.join(mixed, "sig", "left_semi"), "mixed")
-    condition = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.root") != F.col("b.root"))
-    more = rest.alias("a").join(rest.alias("b"), condition & _fit("a.n", "b.n"))
-    more = more.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
-    more = materialize(more.join(first, ["u", "v"], "left_anti"), "pairs")
-    if more.isEmpty():
-        return roots
-    more = materialize(_similar(more, sets), "similar")
-    return roots if more.isEmpty() else components(found.union(more))
-
-
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON, ranked: int = RANKED) -> DataFrame:
-    """Rows of ``df`` with one document of each group of similar ones: that with the smallest id."""
-    rows = materialize(_with_prefixes(df, text_col, _common(df, text_col, common, ranked)), "shingled")
-    copies = rows.groupBy(F.col("__fp").alias("fp")).agg(
-        F.min(id_col).alias("least"), F.first("__n").alias("n"), F.first("__sigs").alias("sigs")
-    )
-    copies = materialize(copies, "copies")
-    roots = similar_roots(copies.select("fp", "n", "sigs"), rows.select(F.col("__fp").alias("fp"), F.col(text_col).alias("text")))
-    named = _named(copies.select("fp", "least"), roots).select(
-        F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__least")
-    )
-    kept = rows.drop("__n", "__sigs").join(named, "__fp").filter(F.col(id_col).eqNullSafe(F.col("__least")))
-    return kept.dropDuplicates(["__root"]).select(*df.columns)

@@ -6,7 +6,7 @@ from shelfwise.llm.common import read_table
 from shelfwise.llm.queries import GOOD_AT, QUERIES, TOXIC_AT
 from tests.llm import cases
 from tests.llm.test_decontaminate import plain_distance
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_simhash import plain_survivors
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,12 +28,8 @@ def test_pipeline_against_a_plain_run(spark):
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
     rows = {i: x for i, x in rows.items() if good.scores(quality_classifier.measured([x]))[0] >= GOOD_AT}
     rows = {i: x for i, x in rows.items() if toxic.score(x)[0] < TOXIC_AT}
-    fps = {i: plain_fingerprint(x) for i, x in rows.items()}
-    root = plain_components(fps.values())
-    least = {}
-    for i in sorted(rows):
-        least.setdefault(root[fps[i]], i)
-    rows = {i: rows[i] for i in least.values()}
+    order = sorted(rows)
+    rows = {order[k]: rows[order[k]] for k in plain_survivors([rows[i] for i in order])}
 
     def leaks(text):
         return any(plain_distance(a, text) <= decontaminate.budget(len(a)) for a in items if len(a) >= decontaminate.Q)
