@@ -37,6 +37,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def one_text_per_id(rows: DataFrame) -> DataFrame:
+    """``rows`` (id, text, ...) with one row of each id: that whose text hashes lowest.
+
+    Only hashes are gathered by id, so an id that very many rows repeat costs no more than another.
+    """
+    placed = rows.withColumn("_of", F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")))
+    lowest = placed.groupBy("id").agg(F.min("_of").alias("_of"))
+    return placed.join(lowest, ["id", "_of"], "left_semi").drop("_of").dropDuplicates(["id"])
+
+
 def keep_rows(df: DataFrame, text_col: str, keep) -> DataFrame:
     """Rows of ``df``, with all their columns, for whose text ``keep(texts)`` says true."""
     bound_batches(df.sparkSession)

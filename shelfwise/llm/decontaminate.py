@@ -7,10 +7,15 @@ within ``k = m * RATE`` edits of the whole item. By the q-gram lemma such a stre
 counted in overlapping diagonal bands, bands below that number are dropped, and what is left is
 verified by an alignment confined to the band.
 
+The lemma must ask for at least one shared q-gram, so short items are searched with shorter grams:
+``q`` is 7 where that leaves the whole budget (from some 44 bytes on), else 3, and 1 for items of one
+or two bytes. The budget is ``floor(m * RATE)`` edits for every length, so items under nine bytes must
+occur as they are.
+
 The benchmark is the stated query set: it goes to the workers in blocks of bounded size, each
-against all documents. Items shorter than ``q`` bytes have no q-gram and are never reported (their
-budget of edits is 0). Null and empty texts match nothing; repeated rows, in either table, are
-reported each; an empty table gives no rows; extra columns are ignored.
+against all documents. Items without a letter or digit are empty once normalised and match nothing, as do
+null and empty texts; repeated rows, in either table, are reported each; an empty table gives no rows;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ from pyspark.sql import types as T
 from shelfwise.llm.common import bound_batches, keep_rows, slices
 
 Q = 7
+#: grams of items too short for ``Q`` with the whole budget
+SHORT = (3, 1)
 RATE = 0.12
 #: bytes of normalised benchmark text in a block, and bits of the first look-up table
 BLOCK_BYTES = 2 << 20
@@ -41,9 +48,17 @@ def normalise(text: str | None) -> bytes:
     return _OTHER.sub(" ", (text or "").lower()).strip().encode("utf-8")
 
 
-def budget(m: int, rate: float = RATE, q: int = Q) -> int:
-    """Edits allowed in an item of ``m`` bytes: ``m * rate``, less if the lemma would ask for no q-gram."""
-    return max(0, min(int(m * rate), (m - q) // q))
+def budget(m: int, rate: float = RATE) -> int:
+    """Edits allowed in an item of ``m`` bytes."""
+    return int(m * rate)
+
+
+def gram_width(m: int, rate: float = RATE, q: int = Q) -> int:
+    """Bytes of the grams an item of ``m`` bytes is searched with: the most of which the lemma asks for one."""
+    for width in (q, *SHORT):
+        if m - width + 1 - budget(m, rate) * width >= 1:
+            return width
+    raise ValueError(f"no gram width for {m} bytes at a rate of {rate}")
 
 
 def grams(data: bytes, q: int = Q) -> np.ndarray:
@@ -89,7 +104,7 @@ class Index:
     def __init__(self, items: list[tuple[int, bytes]], rate: float, q: int):
         self.q = q
         self.ids, self.texts = [i for i, _ in items], [t for _, t in items]
-        self.budgets = np.array([budget(len(t), rate, q) for t in self.texts], np.int64)
+        self.budgets = np.array([budget(len(t), rate) for t in self.texts], np.int64)
         self.need = np.array([len(t) - q + 1 - k * q for t, k in zip(self.texts, self.budgets)], np.int64)
         every = [grams(t, q) for t in self.texts]
         codes = np.concatenate(every) if every else np.zeros(0, np.uint64)
@@ -198,20 +213,38 @@ class Index:
         return [(d, i, *found) for (d, i), found in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, rate: float, q: int) -> Iterator[Index]:
-    """Indexes over parts of the benchmark, :data:`BLOCK_BYTES` of text each (but for one item)."""
+class Block:
+    """A part of the benchmark: one :class:`Index` per width of gram its items need."""
+
+    def __init__(self, items: list[tuple[int, bytes]], rate: float, q: int):
+        by: dict[int, list[tuple[int, bytes]]] = {}
+        for item in items:
+            by.setdefault(gram_width(len(item[1]), rate, q), []).append(item)
+        self.indexes = [Index(by[w], rate, w) for w in sorted(by)]
+
+    def search(self, texts: list[bytes]) -> list[tuple]:
+        """(document, item id, bytes of the item, edits, end of the stretch), best occurrence of each item."""
+        return [
+            (d, index.ids[i], len(index.texts[i]), edits, end)
+            for index in self.indexes
+            for d, i, edits, end in index.search(texts)
+        ]
+
+
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, rate: float, q: int) -> Iterator[Block]:
+    """Parts of the benchmark, :data:`BLOCK_BYTES` of text each (but for one item)."""
     items: list[tuple[int, bytes]] = []
     size = 0
     for row in benchmark.select(item_col, text_col).toLocalIterator():
         text = normalise(row[1])
-        if len(text) < q:
+        if not text:
             continue
         if items and size + len(text) > BLOCK_BYTES:
-            yield Index(items, rate, q)
+            yield Block(items, rate, q)
             items, size = [], 0
         items.append((row[0], text))
         size += len(text)
-    yield Index(items, rate, q)
+    yield Block(items, rate, q)
 
 
 def contaminated(
@@ -241,24 +274,23 @@ def contaminated(
     )
     item_type = pa.int64() if schema["item_id"].dataType in (T.LongType(), T.IntegerType()) else pa.string()
     out = None
-    for index in blocks(benchmark, item_col, "text", rate, q):
-        shared = spark.sparkContext.broadcast(index)  # BLOCK_BYTES of text, whatever the tables
+    for block in blocks(benchmark, item_col, "text", rate, q):
+        shared = spark.sparkContext.broadcast(block)  # BLOCK_BYTES of text, whatever the tables
 
         def run(batches, shared=shared):
-            index = shared.value
             for part in slices(batches):
                 texts = [normalise(x) for x in part.column(1).to_pylist()]
-                found = index.search(texts)
+                found = shared.value.search(texts)
                 if not found:
                     continue
                 ids = part.column(0).take(pa.array([f[0] for f in found], pa.int64()))
-                spans = [texts[d][max(0, end - len(index.texts[i])) : end] for d, i, _, end in found]
+                spans = [texts[d][max(0, end - m) : end] for d, _, m, _, end in found]
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids,
-                        pa.array([index.ids[i] for _, i, _, _ in found], item_type),
-                        pa.array([k for _, _, k, _ in found], pa.int32()),
-                        pa.array([1.0 - k / len(index.texts[i]) for _, i, k, _ in found], pa.float64()),
+                        pa.array([f[1] for f in found], item_type),
+                        pa.array([f[3] for f in found], pa.int32()),
+                        pa.array([1.0 - k / m for _, _, m, k, _ in found], pa.float64()),
                         pa.array([s.decode("utf-8", "ignore") for s in spans], pa.string()),
                     ],
                     [f.name for f in schema],
@@ -273,12 +305,12 @@ def clean(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col:
     """Rows of ``df`` whose text holds no item; each block of the benchmark filters what the last one left."""
     spark = df.sparkSession
     bound_batches(spark)
-    for index in blocks(benchmark, item_col, "text", RATE, Q):
-        shared = spark.sparkContext.broadcast(index)  # BLOCK_BYTES of text, whatever the tables
+    for block in blocks(benchmark, item_col, "text", RATE, Q):
+        shared = spark.sparkContext.broadcast(block)  # BLOCK_BYTES of text, whatever the tables
         df = keep_rows(df, text_col, lambda texts, shared=shared: _free(shared.value, texts))
     return df
 
 
-def _free(index: Index, texts: list[str | None]) -> list[bool]:
-    bad = {found[0] for found in index.search([normalise(x) for x in texts])}
+def _free(block: Block, texts: list[str | None]) -> list[bool]:
+    bad = {found[0] for found in block.search([normalise(x) for x in texts])}
     return [i not in bad for i in range(len(texts))]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from shelfwise.llm.common import bound_batches, in_fold, slices
+from shelfwise.llm.common import bound_batches, in_fold, one_text_per_id, slices
 from shelfwise.session import broadcast_if_small, materialize
 
 ORDER = 4
@@ -40,10 +40,18 @@ REJECT = 0.005
 MEMO, MEMO_LETTERS, PART = 250_000, 4_000_000, 4096
 FOLDS, HELD_OUT = 4, 2
 MARK = "\x02"
-LETTERS = re.compile(r"[^\W\d_]+")
+_WORDLIKE = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def letter_runs(text: str) -> list[str]:
+    """Lower-cased runs of letters (Unicode categories L); numerals such as ½ or Ⅷ are none."""
+    words = _WORDLIKE.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return " ".join("".join(c if c.isalpha() else " " for c in w) for w in words).split()
+
+
 def hashed(codes: np.ndarray, width: int, ends: np.ndarray | None = None) -> np.ndarray:
     """64-bit hashes of windows of ``width`` character codes: all, or those whose last places are ``ends``."""
     if ends is None:
@@ -174,7 +182,7 @@ class Models:
 
     def entropy(self, text: str | None) -> np.ndarray | None:
         """Nats a character per language; None without a letter."""
-        words = LETTERS.findall((text or "").lower())
+        words = letter_runs(text or "")
         if not words or not self.langs:
             return None
         total = np.zeros(len(self.langs))
@@ -203,7 +211,7 @@ class Models:
 
 
 def training_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> DataFrame:
-    """(lang, text): of each language the ``per_lang`` training texts whose ids hash lowest."""
+    """(lang, text): of each language the ``per_lang`` training texts whose ids hash lowest, one text an id."""
     ids = df.filter(~in_fold(id_col, FOLDS, HELD_OUT) & F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang")
     )
@@ -213,12 +221,12 @@ def training_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, pe
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order, "id"))
         ids = ids.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS))).withColumn("r", rank).filter(F.col("r") <= per_lang)
     chosen = ids.select("id").distinct()
-    return (
+    rows = (
         df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
         .filter("text IS NOT NULL AND lang IS NOT NULL")
         .join(broadcast_if_small(chosen), "id", "left_semi")  # per_lang rows a language
-        .select("lang", "text")
     )
+    return one_text_per_id(rows).select("lang", "text")
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = TRAIN_DOCS) -> Models:
@@ -234,7 +242,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for part in slices(batches):
             words: dict[tuple[str, str], int] = defaultdict(int)
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                for w in LETTERS.findall(text.lower()):
+                for w in letter_runs(text):
                     words[lang, w] += 1
             for (lang, w), n in words.items():
                 padded = MARK * (ORDER - 1) + w + MARK

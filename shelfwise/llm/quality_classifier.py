@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.llm.common import bound_batches, in_fold, slices
+from shelfwise.llm.common import bound_batches, in_fold, one_text_per_id, slices
 from shelfwise.session import materialize
 
 FOLDS, HELD_OUT = 5, 0
@@ -192,7 +192,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for k, c in ((1, F.col("y") == 1), (0, F.col("y").isNull()))
     ]
     chosen = F.broadcast(kinds[0].union(kinds[1]))  # 2 * docs rows
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("kind", "text")
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    texts = one_text_per_id(texts).select("kind", "text")
     rows = materialize(_measured(texts), "quality-sample").collect()
     by = {k: np.array([r["m"] for r in rows if r["kind"] == k]).reshape(-1, len(MEASURES)) for k in (0, 1)}
     # in one order whatever the partitions, and shuffled, since halves of the rows are compared

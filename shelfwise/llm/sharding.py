@@ -9,8 +9,8 @@ Law held: ``bytes`` - the sizes of the shards are near equal. Slots go, largest
 shard with the least bytes.
 
 Null text has size 1 and the CRC of the empty text. A null id, repeated rows and equal texts are
-records like any other (the slot hashes id and text, so no group shares a slot unless its rows
-are equal in both). An empty table gives no rows; extra columns are ignored.
+records like any other (the slot hashes id and text, and for rows equal in both their place in the
+table, so no group shares a slot). An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,18 +20,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from shelfwise.session import new_shared_path
+from shelfwise.session import broadcast_if_small, materialize, new_shared_path
 
 SLOTS = 4096
 LAW = "bytes"
 
 
-def records(df: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, size, text_crc32, virtual_slot) of every row; the text is read once and dropped."""
+def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, size, text_crc32) of every row; the text is read once and dropped."""
     text = F.coalesce(text_col, F.lit(""))
     return df.select(
         id_col, (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
-    ).withColumn("virtual_slot", F.pmod(F.xxhash64(id_col, "text_crc32"), F.lit(slots)).cast("int"))
+    )
+
+
+def records(df: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, size, text_crc32, virtual_slot) of every row.
+
+    The slot follows from id and text. Rows that others equal in both cannot be told apart and would share
+    a slot, a third of all rows perhaps: their place in the table goes into the hash as well.
+    """
+    sized = materialize(measured(df, id_col, text_col), "sizes")  # so that the text is read once
+    same = [id_col, "text_crc32", "size"]
+    repeated = sized.groupBy(*same).count().filter("count > 1").select(*[F.col(c).alias(f"_{c}") for c in same])
+    equal = F.lit(True)
+    for c in same:
+        equal = equal & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    hashed = F.xxhash64(id_col, "text_crc32", "_place")
+    alone = F.xxhash64(id_col, "text_crc32")
+    return (
+        sized.withColumn("_row", F.monotonically_increasing_id())
+        .join(broadcast_if_small(repeated), equal, "left")
+        .withColumn("_place", F.when(F.col("_size").isNotNull(), F.col("_row")))
+        .withColumn("virtual_slot", F.pmod(F.when(F.col("_place").isNull(), alone).otherwise(hashed), F.lit(slots)).cast("int"))
+        .select(id_col, "size", "text_crc32", "virtual_slot")
+    )
 
 
 def slot_loads(recs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -149,9 +172,7 @@ def shard_documents(
     """(id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version)."""
     spark = df.sparkSession
     root = root or new_shared_path(spark, "slot-map")
-    recs = records(df, slots, id_col, text_col)
-    recs.write.parquet(f"{root}/records")  # so that the text is read once
-    recs = spark.read.schema(recs.schema).parquet(f"{root}/records")
+    recs = materialize(records(df, slots, id_col, text_col), "records")
     loads = slot_loads(recs, slots)
     store(assign(loads, shards), root)
     table = load(spark, root, 1)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfwise.llm.common import Recent, bound_batches, in_fold, slices
+from shelfwise.llm.common import Recent, bound_batches, in_fold, one_text_per_id, slices
 from shelfwise.session import materialize
 
 FOLDS, HELD_OUT = 5, 0
@@ -86,7 +86,8 @@ def labelled(df: DataFrame, labels: DataFrame, label: str, per_class: int, id_co
     known = known.groupBy(F.col("doc_id").alias("id")).agg(F.max(label).alias("y"))
     lowest = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    return texts.join(F.broadcast(lowest[0].union(lowest[1])), "id").select("id", "y", "text")  # 2 * per_class rows
+    rows = texts.join(F.broadcast(lowest[0].union(lowest[1])), "id")  # 2 * per_class rows
+    return one_text_per_id(rows).select("id", "y", "text")
 
 
 def choose_features(sample: DataFrame) -> list[str]:

@@ -75,6 +75,23 @@ def test_exactly_what_a_full_alignment_finds(spark):
     assert len(rows) == len(want)
 
 
+def test_short_items_have_the_whole_budget(spark):
+    rng = random.Random(5)
+    items = ["cat 1", "a", "7b", "xyzzy", "night train", "seventeen bytes x", "an item of some thirty bytes ok", "one of forty three bytes exactly as it is!!"]
+    texts = [f"some {edited(rng, x, rng.randrange(4))} words" for x in items for _ in range(12)]
+    texts += [f"so {x} is" for x in items] + ["the cat 1 sat", "zq"]
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            a, b = decontaminate.normalise(item), decontaminate.normalise(text)
+            edits = plain_distance(a, b)
+            if edits <= int(0.12 * len(a)):
+                want[d, 100 + i] = edits
+    assert {i for _, i in want} == {100 + i for i in range(len(items))} and max(want.values()) >= 2
+    rows = decontaminate.contaminated(cases.documents(spark, texts), benchmark(spark, items)).collect()
+    assert {(r["doc_id"], r["item_id"]): r["edits"] for r in rows} == want
+
+
 def test_blocks_give_the_same(spark, monkeypatch):
     items, texts = world(3, 30)
     docs, bench = cases.documents(spark, texts), benchmark(spark, items)

@@ -163,3 +163,24 @@ def test_quality_on_odd_rows_and_without_labels(spark, docs):
     none = quality_classifier.train(docs, labels.filter("false"))
     assert {r["score"] for r in quality_classifier.score_documents(cases.documents(spark), none).collect()} == {0.5}
     assert quality_classifier.score_documents(cases.documents(spark, []), model).count() == 0
+
+
+def test_numerals_and_marks_are_no_letters(spark):
+    assert language_id.letter_runs("Ab½c ② Ⅷ x1y 日本 \u0301") == ["ab", "c", "x", "y", "日本"]
+    docs = cases.documents(spark, ["plain words of one tongue"] * 8, first=0)
+    models = language_id.train(docs)
+    texts = ["½ ½ ②", "Ⅷ ²", "\u0301\u0301", "12 34", "words"]
+    rows = language_id.identify(cases.documents(spark, texts), models).orderBy("doc_id").collect()
+    assert [(r["lang_pred"], r["score"]) for r in rows[:4]] == [("und", 0.0)] * 4
+    assert rows[4]["lang_pred"] == "en"
+
+
+def test_a_repeated_id_brings_one_text_into_a_sample(spark):
+    docs = cases.documents(spark, [f"text number {i}" for i in range(40)], first=0)
+    again = docs.filter("doc_id = 3").withColumn("text", F.lit("another text")).crossJoin(spark.range(500).select())
+    several = docs.union(again)
+    sample = language_id.training_sample(several, "doc_id", "text", "lang", 100)
+    assert sample.count() == language_id.training_sample(docs, "doc_id", "text", "lang", 100).count()
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    ids = [r["id"] for r in toxicity.labelled(several, labels, "toxic", 100).collect()]
+    assert len(ids) == len(set(ids)) > 0

@@ -36,6 +36,20 @@ def test_equal_texts_are_spread(spark):
     assert {r["shard"] for r in rows} == set(range(16))
 
 
+def test_equal_rows_are_spread(spark):
+    one = cases.documents(spark, ["the same row " * 10])
+    docs = cases.documents(spark, [f"another {i}" for i in range(1000)], first=10)
+    for _ in range(10):
+        one = one.union(one)
+    rows = sharding.shard_documents(docs.union(one)).collect()
+    sizes, places = [0] * 16, [[] for _ in range(16)]
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+        places[r["shard"]].append(r["slot"])
+    assert len(rows) == 2024 and max(sizes) - min(sizes) <= 200
+    assert all(sorted(p) == list(range(len(p))) for p in places)
+
+
 def test_rebalancing_edits_the_table_only(spark, tmp_path):
     recs = sharding.records(many(spark), 256)
     loads = sharding.slot_loads(recs, 256)
