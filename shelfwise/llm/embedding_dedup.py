@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from shelfwise.llm.common import bound_batches, slices
 from shelfwise.llm.simhash import components
 from shelfwise.operators.keyed import assign_ids
-from shelfwise.session import materialize
+from shelfwise.session import broadcast_if_small, materialize
 
 #: sign bits of a sketch, and how many of them a pass sorts by
 SKETCH_BITS = 256
@@ -216,13 +216,14 @@ def _links_within(members: DataFrame, threshold: float, tile: int) -> DataFrame:
         users.join(upto, "root").filter(F.col("of") + F.col("bin") <= limit)  # bins only
         .groupBy("root", "of").agg(F.max("sure").alias("sure")).withColumnRenamed("of", "bin")
     )
-    counted = members.select("cls", "root", "bin").join(sure, ["root", "bin"], "left").select(
+    # one component may hold most members: rows per component or bin are sent to them where they are few
+    counted = members.select("cls", "root", "bin").join(broadcast_if_small(sure), ["root", "bin"], "left").select(
         "cls", F.coalesce("sure", F.lit(0)).cast("bigint").alias("linked")
     )
     # only a member beyond half the angle can be undecided with another; the other side is all that remain
     wide = members.groupBy("root").agg(F.max("bin").alias("widest"), F.count("*").alias("n")).filter(F.col("widest") * 2 > limit)
     tiles = F.ceil(F.col("n") / tile).cast("int")
-    open_ = members.join(wide, "root").filter(F.col("bin") + F.col("widest") > limit)
+    open_ = members.join(broadcast_if_small(wide.select("root", "widest", "n")), "root").filter(F.col("bin") + F.col("widest") > limit)
     open_ = open_.withColumns({"tiles": tiles, "tile": F.pmod(F.xxhash64("cls"), tiles).cast("int")})
     row = ["root", "cls", "weight", "bin", "unit"]
     across = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
@@ -267,14 +268,14 @@ def near_duplicate_vectors(
     roots = components(found).withColumnRenamed("fp", "cls")
     placed = classes.join(roots, "cls")
     pivots = classes.select(F.col("cls").alias("root"), F.col("unit").alias("b"))
-    angles = _dot(placed.withColumnRenamed("unit", "a").withColumn("unit", F.col("a")).join(pivots, "root"))
+    angles = _dot(placed.withColumnRenamed("unit", "a").withColumn("unit", F.col("a")).join(broadcast_if_small(pivots.join(roots.select("root").distinct(), "root", "left_semi")), "root"))
     turn = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("cosine")))) / math.pi
     members = materialize(
         angles.select("cls", "root", "least", "weight", F.ceil(turn * BINS).cast("int").alias("bin"), "unit"), "members"
     )
     linked = _links_within(members.drop("least"), threshold, tile)
     names = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = members.join(names, "root").join(linked, "cls").select("cls", "component_id", F.col("linked"))
+    of_class = members.join(broadcast_if_small(names), "root").join(linked, "cls").select("cls", "component_id", F.col("linked"))
     of_class = classes.select("cls", "digest", "least", "weight").join(of_class, "cls", "left").select(
         "digest",
         F.coalesce("component_id", "least").alias("component_id"),
