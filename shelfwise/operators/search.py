@@ -1,9 +1,9 @@
 """Ranked product search, many queries per job.
 
 A query matches a product when all its words are in the product's search name.
-Names are looked up through their words by equi-joins: each query probes with
-its rarest word only (its *anchor*) and the other words are checked on the
-surviving pairs, so no query meets a name that lacks its rarest word.
+Names are looked up through the catalogue's stored index by equi-joins: each query
+probes the postings of its rarest word only (its *anchor*) and the other words are
+checked on the surviving pairs, so no query meets a name that lacks its rarest word.
 
 Ranking is (match rank, price), ties broken by product id and store id. The
 match rank is the earliest position of a query word in the name, plus 1000 for
@@ -27,10 +27,13 @@ from shelfwise.functions.text import (
 )
 from shelfwise.schemas import NATIONAL
 from shelfwise.session import materialize
+from shelfwise.sources.search_index import SearchIndex
 from shelfwise.sources.snapshot import Catalog
 
 #: longest word beginning indexed for prefix search; longer ones are checked after the join
 PREFIX_KEY = 6
+#: parts in which a word's postings are probed
+SALTS = 16
 OUTSIDE_CATEGORY = 1000
 
 # what decides which names match a query, and how they rank
@@ -66,38 +69,39 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
     )
 
 
-def _words(names: DataFrame) -> DataFrame:
-    return names.select(
-        "normalized_name",
-        "category",
-        F.explode(F.array_distinct(tokens_of(F.col("normalized_name")))).alias("word"),
-    )
+def _probed(index: SearchIndex, asked: DataFrame) -> DataFrame:
+    """Distinct (query shape, name) pairs whose name holds the shape's ``word``.
+
+    A word's postings are probed in :data:`SALTS` parts, so a word that very many names hold is no
+    one task's; names are looked up once per pair.
+    """
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    postings = index.postings.withColumn("salt", F.pmod("name_id", F.lit(SALTS)).cast("int"))
+    pairs = asked.select(*SHAPE, "word", salts.alias("salt")).join(postings, ["word", "salt"]).select(*SHAPE, "name_id")
+    # several words of a shape's prefix, or several parts of the index, may lead to one name
+    return pairs.distinct().join(index.names.distinct() if index.several_parts else index.names, "name_id")
 
 
 def name_matches(
-    names: DataFrame, shapes: DataFrame, reference_compat: bool = True
+    index: SearchIndex, shapes: DataFrame, reference_compat: bool = True
 ) -> DataFrame:
     """Matching (query shape, name, category) triples with their match rank.
 
-    ``names`` are distinct (normalized_name, category) rows. With
-    ``reference_compat`` a one-word prefix query that maps to a category keeps
-    only names of that category (or holding the literal text ``% word%``).
+    With ``reference_compat`` a one-word prefix query that maps to a category
+    keeps only names of that category (or holding the literal text ``% word%``).
     """
     shapes = shapes.select(*SHAPE).filter(F.col("nq") != "").distinct()
-    words = _words(names)
-    frequency = words.groupBy("word").agg(F.count("*").alias("names_with"))
 
     whole = shapes.filter(~F.col("prefix"))
     rarest = (
         whole.select(*SHAPE, F.explode(F.array_distinct(tokens_of(F.col("nq")))).alias("word"))
-        .join(frequency, "word", "left")
+        .join(index.vocabulary, "word", "left")
+        .groupBy(*SHAPE, "word")
+        .agg(F.coalesce(F.sum("names_with"), F.lit(0)).alias("n"))
         .groupBy(*SHAPE)
-        .agg(
-            F.min(F.struct(F.coalesce("names_with", F.lit(0)).alias("n"), "word")).alias("anchor")
-        )
-        .select(*SHAPE, F.col("anchor.word").alias("word"))
+        .agg(F.min_by("word", F.struct("n", "word")).alias("word"))
     )
-    whole_hits = rarest.join(words, "word").filter(
+    whole_hits = _probed(index, rarest).filter(
         has_words(F.col("normalized_name"), tokens_of(F.col("nq")))
     )
 
@@ -109,7 +113,7 @@ def name_matches(
             )
         ).getField("t"),
     ).withColumn("word_key", F.substring("start", 1, PREFIX_KEY))
-    keyed_words = frequency.select(
+    keyed_words = index.vocabulary.select(
         "word",
         F.explode(
             F.transform(
@@ -118,15 +122,14 @@ def name_matches(
             )
         ).alias("word_key"),
     )
+    starts = begun.join(keyed_words, "word_key").filter(F.startswith("word", "start")).select(*SHAPE, "word")
     prefix_hits = (
-        begun.join(keyed_words, "word_key")
-        .filter(F.startswith("word", "start"))
-        .join(words, "word")
+        _probed(index, starts.distinct() if index.several_parts else starts)
         .filter(has_word_prefixes(F.col("normalized_name"), tokens_of(F.col("nq"))))
-        .select(*SHAPE, "normalized_name", "category")
-        .distinct()
     )
-    hits = whole_hits.select(*SHAPE, "normalized_name", "category").unionByName(prefix_hits)
+    hits = whole_hits.select(*SHAPE, "normalized_name", "category").unionByName(
+        prefix_hits.select(*SHAPE, "normalized_name", "category")
+    )
     hits = hits.withColumn("cat_slug", category_of_normalized(None, F.col("nq")))
     in_category = F.coalesce(F.col("category") == F.col("cat_slug"), F.lit(False))
     if reference_compat:
@@ -145,10 +148,6 @@ def name_matches(
     )
 
 
-def distinct_names(products: DataFrame) -> DataFrame:
-    return products.select("normalized_name", "category").distinct()
-
-
 def _same(left: str, right: str) -> Column:
     return F.col(left).eqNullSafe(F.col(right))
 
@@ -199,7 +198,7 @@ def _first_rows(df: DataFrame, keys: list[str], n: int | None) -> DataFrame:
 
 
 def _name_arm(cat: Catalog, q: DataFrame, cap: int | None, compat: bool) -> DataFrame:
-    matches = name_matches(distinct_names(cat.products), q, compat)
+    matches = name_matches(cat.search_index(), q, compat)
     wanted = (
         q.withColumnRenamed("category", "want_category")
         .drop("cat_slug")
@@ -407,7 +406,7 @@ def best_per_chain(
             F.col("offer.store_id").alias("store_id"),
         ).alias("best")
 
-    matches = name_matches(distinct_names(cat.products), q, reference_compat)
+    matches = name_matches(cat.search_index(), q, reference_compat)
     m = matches.withColumnsRenamed({"normalized_name": "m_name", "category": "m_category"})
     by_shape = m.join(
         reduced,

@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import astuple, dataclass, fields, replace
+from dataclasses import astuple, dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise import schemas
+from shelfwise.sources.search_index import (
+    INDEX_TABLES,
+    SearchIndex,
+    build_index,
+    names_of,
+    postings_of,
+    vocabulary_of,
+)
 
 
 @dataclass(frozen=True)
@@ -19,9 +27,15 @@ class Catalog:
     prices: DataFrame
     price_history: DataFrame
     scrape_runs: DataFrame
+    #: the stored search index of ``products``, if there is one
+    index: SearchIndex | None = None
 
     def with_tables(self, **tables: DataFrame) -> Catalog:
-        return replace(self, **tables)
+        """Other tables in place of some; an index does not outlive the products it was made of."""
+        return replace(self, **({"index": None} if "products" in tables else {}), **tables)
+
+    def search_index(self) -> SearchIndex:
+        return self.index or build_index(self.products)
 
     @property
     def spark(self) -> SparkSession:
@@ -37,8 +51,8 @@ _POINTER_SCHEMA = "number bigint, version string, batch_id bigint, stream string
 _MANIFEST = "_manifest"
 _MANIFEST_SCHEMA = "table string, chain bigint, bucket int, buckets int, path string, last_id bigint"
 
-#: tables whose rows belong to one chain, and those that are dealt over buckets of a chain besides
-BY_CHAIN, BY_BUCKET = ("stores", "products", "prices"), ("products", "prices")
+#: tables dealt over buckets of a chain
+BY_BUCKET = ("products", "prices", *INDEX_TABLES)
 #: buckets of a chain in a root that a batch is merged into for the first time
 BUCKETS = 8
 
@@ -72,10 +86,18 @@ def write_snapshot(
     spark = catalog.spark
     version = uuid.uuid4().hex
     parts = []
-    for f in fields(Catalog):
-        path = f"{root}/{version}/{f.name}"
-        getattr(catalog, f.name).write.parquet(path)
-        parts.append(Part(f.name, None, None, None, path, None))
+
+    def put(table: str, frame: DataFrame) -> DataFrame:
+        path = f"{root}/{version}/{table}"
+        frame.write.parquet(path)
+        parts.append(Part(table, None, None, None, path, None))
+        return spark.read.schema(_schema(table)).parquet(path)
+
+    written = {name: put(name, getattr(catalog, name)) for name in schemas.TABLES}
+    names = put("names", names_of(written["products"]))
+    order = ["word", "name_id"]
+    postings = put("postings", postings_of(names).repartitionByRange(*order).sortWithinPartitions(*order))
+    put("vocabulary", vocabulary_of(postings))
     _publish(spark, root, version, parts, batch_id, stream)
     return version
 
@@ -103,6 +125,10 @@ def write_increment(
         ),
         "prices": new.prices.join(home, "product_id"),
     }
+    keys = ["chain", "bucket"]
+    frames["names"] = names_of(frames["products"], *keys)
+    frames["postings"] = postings_of(frames["names"], *keys)
+    frames["vocabulary"] = vocabulary_of(frames["postings"], *keys)
     parts = [p for p in old if p not in replaced]
     for table in ("supermarkets", "price_history", "scrape_runs"):
         getattr(new, table).write.parquet(f"{base}/{table}")
@@ -112,9 +138,9 @@ def write_increment(
         path = f"{base}/{table}"
         # one file per part, more for a large one
         frame.hint("rebalance", *keys).write.partitionBy(*keys).parquet(path)
-        id_of = "id" if "id" in frame.columns else "product_id"
-        types = ", ".join([schemas.TABLES[table], *[f"{k} {'bigint' if k == 'chain' else 'int'}" for k in keys]])
-        written = spark.read.schema(types).parquet(path).groupBy(*keys).agg(F.max(id_of).alias("last_id"))
+        types = ", ".join([_schema(table), *[f"{k} {'bigint' if k == 'chain' else 'int'}" for k in keys]])
+        last = F.max("id") if table in ("stores", "products") else F.lit(None)
+        written = spark.read.schema(types).parquet(path).groupBy(*keys).agg(last.cast("bigint").alias("last_id"))
         for r in written.collect():  # one row per part
             at = "/".join(f"{k}={r[k]}" for k in keys)
             parts.append(
@@ -165,14 +191,22 @@ def read_parts(spark: SparkSession, root: str, version: str | None = None) -> li
     return [Part(**r.asDict()) for r in rows.collect()]
 
 
+def _schema(table: str) -> str:
+    return schemas.TABLES.get(table) or INDEX_TABLES[table]
+
+
 def catalog_of(spark: SparkSession, parts: list[Part]) -> Catalog:
     """The rows of some parts as a catalogue."""
-    tables = {}
-    for name, schema in schemas.TABLES.items():
-        paths = [p.path for p in parts if p.table == name]
-        reader = spark.read.schema(schema)
-        tables[name] = reader.parquet(*paths) if paths else spark.createDataFrame([], schema)
-    return Catalog(**tables)
+    paths = {n: [p.path for p in parts if p.table == n] for n in (*schemas.TABLES, *INDEX_TABLES)}
+
+    def rows(name: str) -> DataFrame:
+        reader = spark.read.schema(_schema(name))
+        return reader.parquet(*paths[name]) if paths[name] else spark.createDataFrame([], _schema(name))
+
+    index = None
+    if paths["postings"]:
+        index = SearchIndex(*[rows(n) for n in INDEX_TABLES], several_parts=len(paths["names"]) > 1)
+    return Catalog(**{n: rows(n) for n in schemas.TABLES}, index=index)
 
 
 def read_snapshot(spark: SparkSession, root: str, version: str | None = None) -> Catalog:

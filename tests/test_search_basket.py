@@ -12,8 +12,9 @@ from shelfwise import schemas
 from shelfwise.functions.categories import CATEGORY_RULES
 from shelfwise.operators import basket
 from shelfwise.operators.search import search_hits, search
-from shelfwise.operators.upsert import save
+from shelfwise.operators.upsert import save, save_increment
 from shelfwise.sources.catalogue_csv import read_catalogue_csv, rows_to_batch
+from shelfwise.sources.search_index import build_index
 from shelfwise.sources.snapshot import Catalog, empty_catalog, read_snapshot, write_snapshot
 
 DEMO = str(Path(__file__).parent / "fixtures" / "demo.csv")
@@ -53,6 +54,39 @@ def test_demo_search(spark, demo):
     assert [(r, p) for r, p, _ in by[3]] == [(0, 34.99), (0, 36.49), (0, 49.99)]
 
 
+def test_search_through_stored_parts(spark, demo, tmp_path):
+    batch = rows_to_batch(read_catalogue_csv(spark, DEMO))
+    root, first = str(tmp_path / "live"), F.crc32("external_id") % 2 == 0
+    for part in (first, ~first):
+        save_increment(spark, root, batch.supermarkets, batch.stores, batch.products.filter(part), AS_OF, buckets=2)
+    live = read_snapshot(spark, root)
+    assert live.index.several_parts and demo.index and not demo.with_tables(products=demo.products).index
+    stored = live.index.postings.join(live.index.names.distinct(), "name_id")
+    built = build_index(live.products)
+    want = built.postings.join(built.names, "name_id")
+    assert set(stored.collect()) == set(want.collect())
+    shown = ["query_id", "hit_no", "match_rank", "price", "supermarket_slug", "name", "store_id"]
+    queries = ask(spark, ("lapte", None, None), ("fanta pere", None, None), ("lap", None, None), ("nimic", None, None))
+    for prefix in (False, True):
+        asked = queries.withColumn("prefix", F.lit(prefix))
+        plain = live.with_tables(products=live.products)  # no stored index
+        got = [sorted(map(tuple, search(c, asked).select(*shown).collect())) for c in (live, plain)]
+        assert got[0] == got[1] and got[0]
+
+
+def test_missing_counts_equal_the_counts_of_items(spark, demo):
+    data = lines(
+        spark,
+        (1, 1, "lapte", 2.0, None), (1, 2, "paine", 1.0, None), (1, 3, "sampanie veche", 1.0, None), (1, 4, "detergent", 1.0, None),
+        (2, 1, "lapte zuzu", 1.0, "Cluj"), (2, 2, "bananele", 3.0, "Cluj"), (3, 1, "xyz", 1.0, None),
+    )
+    columns = ["basket_id", "supermarket_id", "missing_count", "alternative_count"]
+    want = basket.missing_report(basket.compare_items(demo, data)).select(*columns).collect()
+    got = basket.missing_counts(demo, data).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 3 * demo.supermarkets.count()
+    assert any(r.alternative_count for r in got) and any(0 < r.missing_count < 4 for r in got)
+
+
 def lines(spark, *rows):
     return spark.createDataFrame([(*r[:4], None, r[4]) for r in rows], schemas.BASKET_LINES)
 
