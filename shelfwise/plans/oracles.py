@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from shelfwise.functions.categories import CATEGORY_RULES, FALLBACK
 from shelfwise.functions.geo import CITY_COUNTY, POSTAL_PREFIX_COUNTY
-from shelfwise.functions.text import NO_POSITION, fold_table
+from shelfwise.functions.text import JS_SPACE, NO_POSITION, fold_table
 from shelfwise.functions.units import MULTIPACK, PIECE, SINGLE, UNIT_WORDS
 from shelfwise.plans.testbed import CITIES, FEED_EPOCH, GROCERY_TERMS
 
@@ -158,6 +158,11 @@ def category_counts() -> str:
 SELECT category, count(*) AS n_documents FROM ({categorize_documents()}) GROUP BY category"""
 
 
+def page_texts() -> str:
+    bare = "replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&amp;', '&')"
+    return f"SELECT page_id, trim(regexp_replace({bare}, {lit(f'[{JS_SPACE}]+')}, ' ', 'g')) AS text FROM pages"
+
+
 UNIT_TEXTS = [
     "{n} g", "{n}ml", "{n}X1,5 L", "{n} x 100 gr", "set {n} buc", "la bucata", "{n},5 kg",
     "{n} litri", "{n} role", "{n} Ouă", "cutie {n}", "{n} cl",
@@ -215,6 +220,7 @@ def search_sql(
     category: str = "NULL",
     supermarket: str = "NULL",
     county: str = "NULL",
+    city: str = "NULL",
     limit: int = TOP_HITS,
     columns: str = "query_id, q, hit_no, id AS product_id, store_id, slug, name, price, match_rank",
 ) -> str:
@@ -228,7 +234,7 @@ def search_sql(
     return f"""
 WITH {VIEWS}, {queries}, normal AS (
   SELECT *, {norm('q')} AS nq, {category} AS want_category, {supermarket} AS want_chain,
-         {county} AS want_county FROM queries
+         {county} AS want_county, {city} AS want_city FROM queries
 ), prepared AS (
   SELECT *, list_filter(string_split(nq, ' '), lambda x: x <> '') AS tokens, {category_of('nq')} AS slug_of_query
   FROM normal
@@ -251,6 +257,7 @@ WITH {VIEWS}, {queries}, normal AS (
   LEFT JOIN stores s ON s.id = r.store_id
   WHERE (want_chain IS NULL OR c.slug = want_chain)
     AND (want_county IS NULL OR r.store_id = 0 OR s.county = want_county)
+    AND (want_city IS NULL OR r.store_id = 0 OR s.city = want_city)
 ), capped AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY match_rank, price, id, store_id) AS n
   FROM ranked
@@ -566,6 +573,12 @@ SELECT supermarket_slug, n AS extracted, CASE WHEN ok THEN 'ok' ELSE 'error' END
 FROM judged"""
 
 
+def gate_overall() -> str:
+    return f"""
+SELECT bool_and(status = 'ok') AS all_ok, count(*) FILTER (status = 'ok') AS succeeded, count(*) AS requested
+FROM ({quality_gate()})"""
+
+
 def import_summary() -> str:
     return f"""
 WITH {FEED}, {SAVED_ROWS}
@@ -634,6 +647,18 @@ SELECT CASE WHEN p_partkey % 2 = 0 THEN 'S' || p_partkey ELSE 'P' || p_partkey E
 FROM part WHERE p_partkey % 11 <> 0"""
 
 
+def feed_profi() -> str:
+    return """
+WITH p AS (
+  SELECT *, p_partkey // 40 AS page, p_name || ' ' || p_partkey AS name FROM part
+)
+SELECT CASE WHEN page % 2 = 1 THEN lower(replace(name, ' ', '-')) WHEN p_partkey % 9 = 0 THEN name
+            ELSE 'PF' || p_partkey END AS external_id,
+       name, CASE WHEN page % 2 = 0 AND p_partkey % 3 <> 0 THEN p_brand END AS brand,
+       CASE WHEN page % 2 = 0 THEN p_retailprice ELSE CAST(p_size || '.99' AS DOUBLE) END AS price
+FROM p WHERE page % 7 <> 3 AND NOT (page % 2 = 1 AND p_partkey % 10 = 3)"""
+
+
 def feed_kaufland() -> str:
     return f"""
 SELECT CASE WHEN p_partkey % 2 = 0 THEN 'K' || p_partkey ELSE 'O' || p_partkey END AS external_id,
@@ -697,6 +722,9 @@ WITH p AS (
 SELECT site, link, row_number() OVER (PARTITION BY site ORDER BY found_at) AS link_no FROM d"""
 
 
+page_links_all = page_links
+
+
 def stream_ingest() -> str:
     return f"""
 WITH {VIEWS}

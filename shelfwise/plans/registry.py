@@ -12,7 +12,13 @@ from shelfwise import schemas
 from shelfwise.functions.categories import CATEGORIES, category_of_normalized
 from shelfwise.functions.geo import county_from_postal_code, resolve_county
 from shelfwise.functions.numbers import discount_shown
-from shelfwise.functions.text import display_label, normalize_text, origin_of, tokens_of
+from shelfwise.functions.text import (
+    display_label,
+    normalize_text,
+    origin_of,
+    strip_html,
+    tokens_of,
+)
 from shelfwise.functions.units import parse_unit_size, price_per_unit
 from shelfwise.operators import basket, gates, reports, upsert
 from shelfwise.operators import edits as edits_ops
@@ -119,6 +125,13 @@ def county_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("page_texts", oracles.page_texts())
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored pages without their markup."""
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return pages.select("page_id", strip_html(F.col("html")).alias("text"))
+
+
 # ---------------------------------------------------------------- search
 
 
@@ -181,6 +194,15 @@ def search_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, queries)
 
 
+_IN_CITY = {"city": oracles.pick(CITIES, "query_id")}
+
+
+@register("search_city", oracles.search_sql(oracles.TERM_ROWS, **_IN_CITY))
+def search_city(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term in one of the cities: national prices and those of stores there."""
+    return _search(spark, sf_dir, term_queries(spark).withColumn("city", pick(CITIES, F.col("query_id"))))
+
+
 # ---------------------------------------------------------------- baskets
 
 
@@ -469,8 +491,8 @@ def last_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.last_runs(cat).drop("finished_at")
 
 
-@register("quality_gate", oracles.quality_gate())
-def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _gate_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, runs): the feed's rows and what the gates say of each chain."""
     chains, _, lines = feed_batches(spark, sf_dir)
     total = table(spark, sf_dir, "lineitem").count()
     key = F.substring_index("supermarket_slug", "-", -1).cast("bigint")
@@ -485,7 +507,17 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("warnings"),
     )
     lines = materialize(lines.select("supermarket_slug"), "lines")
-    runs = materialize(gates.check_runs(requested, lines, warnings), "runs")
+    return lines, materialize(gates.check_runs(requested, lines, warnings), "runs")
+
+
+@register("gate_overall", oracles.gate_overall())
+def gate_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.overall(_gate_runs(spark, sf_dir)[1])
+
+
+@register("quality_gate", oracles.quality_gate())
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, runs = _gate_runs(spark, sf_dir)
     passed = gates.passing(lines, runs).groupBy("supermarket_slug").agg(F.count("*").alias("passed"))
     return (
         runs.join(passed, "supermarket_slug", "left")
@@ -686,6 +718,45 @@ def feed_penny(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("feed_profi", oracles.feed_profi())
+def feed_profi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offer pages of forty parts, by turns JSON-LD and cards; some show the challenge instead."""
+    c = _cols()
+    key, text = c["key"], c["text"]
+    page = F.floor(key / 40)
+    name = F.concat_ws(" ", "p_name", text)
+    described = F.to_json(
+        F.struct(
+            F.lit("Product").alias("@type"),
+            F.when(key % 9 != 0, F.concat(F.lit("PF"), text)).alias("sku"),
+            name.alias("name"),
+            F.when(key % 3 != 0, F.struct(F.col("p_brand").alias("name"))).alias("brand"),
+            F.array(
+                F.struct(F.replace(F.col("p_retailprice").cast("string"), F.lit("."), F.lit(",")).alias("price"))
+            ).alias("offers"),
+        )
+    )
+    title = F.when(key % 10 == 3, F.lit("<b>oferta</b>")).otherwise(F.concat(F.lit("<h3>"), name, F.lit("</h3>")))
+    card = F.concat(
+        F.lit('<div class="product-card">'), title, F.lit("<p>"), c["size"], F.lit(",99 lei</p></div>")
+    )
+    items = F.array_sort(F.collect_list(F.struct(key.alias("k"), described.alias("d"), card.alias("c"))))
+    pages = table(spark, sf_dir, "part").groupBy(page.alias("payload_seq")).agg(items.alias("items"))
+    body = F.when(
+        F.col("payload_seq") % 2 == 0,
+        F.concat(
+            F.lit('<script type="application/ld+json">{"@type":"ItemList","itemListElement":['),
+            F.array_join("items.d", ","),
+            F.lit("]}</script>"),
+        ),
+    ).otherwise(F.concat(F.lit('<div class="offer-grid">'), F.array_join("items.c", "\n"), F.lit("</div>")))
+    head = F.when(F.col("payload_seq") % 7 == 3, F.lit("Just a moment...")).otherwise(F.lit("Oferte"))
+    html = F.concat(F.lit("<html><head><title>"), head, F.lit("</title></head><body>"), body, F.lit("</body></html>"))
+    return feeds.parse_feed("profi", pages.select("payload_seq", html.alias("payload"))).select(
+        "external_id", "name", "brand", "price"
+    )
+
+
 @register("feed_kaufland", oracles.feed_kaufland())
 def feed_kaufland(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _cols()
@@ -880,7 +951,7 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(links.page_links(pages, "(?i)/[a-s]", None), "link_no")
 
 
-QUERIES["page_links_all"], ORACLES["page_links_all"] = page_links, oracles.page_links()  # its former name
+QUERIES["page_links_all"], ORACLES["page_links_all"] = page_links, oracles.page_links_all()  # its former name
 
 
 # ---------------------------------------------------------------- streaming

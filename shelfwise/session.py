@@ -59,6 +59,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: bytes of text Spark may put into one Arrow batch for a Python worker
+ARROW_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, not only by rows; a bound the application was started with is kept."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(name):
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Redistribute an input that arrives in fewer splits than there are cores.
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +19,7 @@ from shelfwise.functions.text import JS_SPACE, fallback_product_id, js_trim, ori
 from shelfwise.functions.units import unit_from_name
 from shelfwise.operators.keyed import first_per_key
 from shelfwise.schemas import HARVESTED_COLUMNS
+from shelfwise.session import bound_batches
 
 # Class fragments and tags of cards, titles and prices, and price patterns.
 CARD_CLASSES = ("product", "offer", "card", "item")
@@ -26,6 +27,8 @@ INNER_CLASSES = ("product", "offer", "card")
 CARD_TAGS = ("article", "li")
 TITLE_TAGS = ("h1", "h2", "h3", "h4")
 TITLE_CLASSES = ("title", "name", "denumire")
+OWN_TITLE_TAGS = ("h2", "h3", "h4")
+OWN_TITLE_CLASSES = ("title", "name")
 PRICE_CLASSES = ("price", "pret")
 PRICE_DECIMAL = r"(?i)(?<!\d)(\d+[.,]\d{2})\s*(?:lei|ron)"
 PRICE_WHOLE = r"(?i)(?<!\d)(\d+)\s*(?:lei|ron)"
@@ -115,21 +118,25 @@ def _first(nodes: Iterator[_Node], test) -> _Node | None:
     return next((n for n in nodes if test(n)), None)
 
 
-def leaf_cards(html: str, longest_card: int | None = None) -> Iterator[tuple]:
+def leaf_cards(html: str, longest_card: int | None = None, own: bool = False) -> Iterator[tuple]:
+    """Texts of the leaf cards of a page; ``own``: the narrower rules for a chain's own pages."""
+    classes, tags, inner_tag = (INNER_CLASSES, (), None) if own else (CARD_CLASSES, CARD_TAGS, "article")
+    title_tags = OWN_TITLE_TAGS if own else TITLE_TAGS
+    title_classes = OWN_TITLE_CLASSES if own else TITLE_CLASSES
     builder = _Builder()
     builder.feed(html)
     builder.close()
     for el in builder.root.below():
-        if not (el.has_class(CARD_CLASSES) or el.tag in CARD_TAGS):
+        if not (el.has_class(classes) or el.tag in tags):
             continue
-        if _first(el.below(), lambda n: n.has_class(INNER_CLASSES) or n.tag == "article"):
+        if _first(el.below(), lambda n: n.has_class(INNER_CLASSES) or n.tag == inner_tag):
             continue
         text = el.text()
         if longest_card is not None and len(text) > longest_card:
             continue
         price = _first(el.below(), lambda n: n.has_class(PRICE_CLASSES))
         bits = [] if price is None else [p.strip() for p in price.pieces()]
-        title = _first(el.below(), lambda n: n.tag in TITLE_TAGS or n.has_class(TITLE_CLASSES))
+        title = _first(el.below(), lambda n: n.tag in title_tags or n.has_class(title_classes))
         image = _first(el.below(), lambda n: n.tag == "img")
         link = _first(el.below(), lambda n: n.tag == "a" and "href" in n.attrs)
         yield (
@@ -144,20 +151,35 @@ def leaf_cards(html: str, longest_card: int | None = None) -> Iterator[tuple]:
 _COLUMNS = [c.split()[0] for c in CARD_SCHEMA.split(", ")]
 
 
-def card_texts(pages: DataFrame, longest_card: int | None = None) -> DataFrame:
-    """Leaf cards of ``pages`` (page_id, url, html) with their raw texts; longer cards are left out."""
+#: cards handed back to Spark at a time
+CARDS_OUT = 2000
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def card_texts(pages: DataFrame, longest_card: int | None = None, own: bool = False) -> DataFrame:
+    """Leaf cards of ``pages`` (page_id, url, html) with their raw texts; longer cards are left out.
+
+    Pages come in batches bounded by bytes, and cards go back in parts of bounded length.
+    """
+    bound_batches(pages.sparkSession)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
-            rows = [
-                (p.page_id, p.url, i, *card)
-                for p in batch.itertuples(index=False)
-                if isinstance(p.html, str)
-                for i, card in enumerate(leaf_cards(p.html, longest_card))
-            ]
-            yield pd.DataFrame(rows, columns=_COLUMNS)
+            for page_id, url, html in zip(*[c.to_pylist() for c in batch.columns]):
+                for i, card in enumerate(leaf_cards(html, longest_card, own) if html is not None else ()):
+                    rows.append((page_id, url, i, *card))
+                    if len(rows) == CARDS_OUT:
+                        yield packed(rows)
+                        rows = []
+        if rows:
+            yield packed(rows)
 
-    return pages.select("page_id", "url", "html").mapInPandas(walk, CARD_SCHEMA)
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.string(), pa.int32(), *[pa.string()] * 5]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], _COLUMNS)
+
+    typed = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
+    return typed.mapInArrow(walk, CARD_SCHEMA)
 
 
 def _match(text: Column, pattern: str) -> Column:
@@ -239,9 +261,12 @@ def products_from_cards(
 OWN_PRICE = r"(?i)(\d+(?:[.,]\d{1,2})?)\s*(?:lei|ron)"
 
 
-def offers_from_cards(pages: DataFrame, longest_card: int | None = None) -> DataFrame:
-    """Cards of a chain's own pages: a titled card with ``N lei`` in its text."""
-    cards = card_texts(pages, longest_card)
+def offers_from_cards(pages: DataFrame, longest_card: int | None = None, own: bool = False) -> DataFrame:
+    """Cards of a chain's own pages: a titled card with ``N lei`` in its text.
+
+    ``own``: only elements with a card's class are cards, whatever their tag.
+    """
+    cards = card_texts(pages, longest_card, own)
     name = js_trim(F.col("title"))
     rows = cards.select(
         "page_id",

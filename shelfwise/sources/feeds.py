@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.numbers import parse_price, positive
 from shelfwise.functions.text import blank_to_null, js_trim, title_case
 from shelfwise.functions.units import parse_base_price
 from shelfwise.operators.keyed import first_per_key
+from shelfwise.sources.cards import offers_from_cards
+from shelfwise.sources.jsonld import offers_from_jsonld
 
 #: bits of ``seq`` for the position of an item inside its payload
 ITEM_BITS = 24
@@ -59,6 +61,10 @@ KAUFLAND_OFFERS = "https://www.kaufland.ro/oferte/oferte-saptamanale/saptamana-c
 KAUFLAND_BLOB = (
     r"(?s)window\.SSR\['[^']+'\]\s*=\s*(\{\"component\":\"OfferTemplate\".*?\});?\s*</script>"
 )
+# The offers page, and the title of a page that asks to prove one is no robot.
+PROFI_OFFERS = "https://www.profi.ro/oferte/"
+PAGE_TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+PROFI_CHALLENGE = r"(?i)moment|attention|just a"
 # Unit names of reported unit prices.
 PENNY_UNITS = {"kg": "kg", "l": "l", "buc": "buc", "lt": "l"}
 
@@ -254,12 +260,48 @@ def kaufland(raw: DataFrame, reference_compat: bool = False) -> DataFrame:
     return _first_wins(priced).filter(F.col("name").isNotNull())
 
 
+def profi(raw: DataFrame) -> DataFrame:
+    """Offer pages as a browser saw them (``payload`` is HTML).
+
+    A page's JSON-LD products count; a page without any is read by its product cards. Pages that show
+    the site's challenge instead of offers are left out.
+    """
+    title = F.coalesce(F.regexp_extract("payload", PAGE_TITLE, 1), F.lit(""))
+    pages = raw.filter(~F.rlike(title, F.lit(PROFI_CHALLENGE))).select(
+        F.col("payload_seq").alias("page_id"), F.lit(PROFI_OFFERS).alias("url"), F.col("payload").alias("html")
+    )
+    described = offers_from_jsonld(pages)
+    # JSON-LD decides page by page, by its presence alone, so pages are told apart before cards are walked
+    plain = pages.join(described.select("page_id").distinct(), "page_id", "left_anti")
+    shown = offers_from_cards(plain, own=True)
+
+    def numbered(offers: DataFrame) -> DataFrame:
+        in_page = F.row_number().over(Window.partitionBy("page_id").orderBy("item_seq"))
+        return offers.withColumn("seq", F.shiftleft("page_id", ITEM_BITS) + in_page).drop("item_seq")
+
+    offers = numbered(described).unionByName(numbered(shown))
+    products = _products(
+        offers,
+        "profi",
+        external_id=F.col("external_id"),
+        name=F.col("name"),
+        brand=F.col("brand"),
+        raw_category=F.lit(None).cast("string"),
+        unit_size_text=F.lit(None).cast("string"),
+        price=F.col("price"),
+        image_url=F.col("image_url"),
+        url=F.col("url"),
+    )
+    return _first_wins(products)
+
+
 #: feed name -> parser; add an entry to support another chain
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "lidl": lidl,
     "auchan": auchan,
     "penny": penny,
     "kaufland": kaufland,
+    "profi": profi,
 }
 
 

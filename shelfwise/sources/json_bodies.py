@@ -20,7 +20,7 @@ from shelfwise.functions.numbers import is_sane_price, round_half_up
 from shelfwise.functions.text import absolute_url, blank_to_null, js_trim, origin_of
 from shelfwise.functions.units import unit_from_name
 from shelfwise.schemas import HARVESTED_COLUMNS
-from shelfwise.session import materialize
+from shelfwise.session import bound_batches, materialize
 
 #: items a worker turns into one frame at a time
 SLICE_ROWS = 4096
@@ -236,6 +236,7 @@ def listed_items(bodies: DataFrame, limits: Limits = Limits()) -> DataFrame:
                 out = pd.DataFrame(some, columns=_COLUMNS)
                 yield out.astype({"raw_price": "float64"})
 
+    bound_batches(bodies.sparkSession)
     return bodies.select("body_id", "url", "body").mapInPandas(walk, ITEM_SCHEMA)
 
 

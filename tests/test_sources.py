@@ -218,3 +218,29 @@ def test_all_links_of_a_site(spark):
     from shelfwise.plans import oracles, registry
 
     assert "page_links_all" in registry.QUERIES and "QUALIFY" not in oracles.page_links_all()
+
+
+def test_profi_pages(spark):
+    def card(name, price, tag="h3"):
+        return f'<div class="product-card"><{tag}>{name}</{tag}><p>{price}</p></div>'
+
+    ld = (
+        '<script type="application/ld+json">[{"@type":"Product","sku":"7","name":"Lapte","brand":{"name":"Zuzu"},'
+        '"offers":[{"price":"5,49"}]},{"@type":"Product","name":"Unt","offers":{"price":9.5}},'
+        '{"@type":"Product","name":"Suc"}]</script>'
+    )
+    rows = [
+        (1, "<title>Oferte</title>" + ld + card("Nu se vede", "3 lei")),
+        (2, '<div class="offer-list">' + card("Pâine  albă", "4,5 lei") + card("Pâine  albă", "9 lei") + card("Ou", "1 leu")
+            + card("Fără titlu", "2 lei", "b") + "<li><h3>Nu e card</h3> 5 lei</li></div>"),
+        (3, "<title>Just a moment...</title>" + card("Provocare", "3 lei")),
+        (4, '<script type="application/ld+json">{"@type":"Product","sku":"7","name":"Alt lapte","offers":{"price":1}}</script>'),
+        (5, None),
+    ]
+    raw = spark.createDataFrame(rows, "payload_seq bigint, payload string")
+    got = feeds.parse_feed("profi", raw).orderBy("seq").collect()
+    assert [(r.external_id, r.name, r.brand, r.price) for r in got] == [
+        ("7", "Lapte", "Zuzu", 5.49), ("Unt", "Unt", None, 9.5), ("pâine-albă", "Pâine albă", None, 4.5),
+    ]
+    assert all(r.supermarket_slug == "profi" and r.store_external_ids is None for r in got)
+    assert feeds.parse_feed("profi", raw.limit(0)).count() == 0
