@@ -20,7 +20,7 @@ from shelfwise.functions.units import parse_unit_size, price_per_unit
 from shelfwise.operators.keyed import assign_ids, last_known, max_id
 from shelfwise.operators.upsert import ordered
 from shelfwise.schemas import DEFAULT_CURRENCY, NATIONAL
-from shelfwise.session import materialize
+from shelfwise.session import broadcast_if_small, materialize
 from shelfwise.sources.snapshot import Catalog
 
 
@@ -33,19 +33,30 @@ def create_supermarkets(cat: Catalog, edits: DataFrame) -> Catalog:
     return cat.with_tables(supermarkets=upsert_supermarkets(cat.supermarkets, batch))
 
 
+def _apply(existing: DataFrame, edits: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(``existing`` with the columns of its edit, edits of no existing row); one edit a key.
+
+    A few edits are sent to the stored rows, which then do not move.
+    """
+    edits = materialize(edits, "edits")
+    few = broadcast_if_small(edits)
+    known = materialize(existing.join(broadcast_if_small(edits.select(*keys)), keys, "left_semi").select(*keys), "known")
+    return existing.join(few, keys, "left"), edits.join(broadcast_if_small(known), keys, "left_anti")
+
+
 def _set_national_prices(cat: Catalog, new: DataFrame, as_of: Column) -> DataFrame:
     """``new``: product_id, price, unit_price. Offer columns of a stored price stay."""
-    fresh = new.select(
+    edits = new.select(
         "product_id",
         F.lit(NATIONAL).cast("bigint").alias("store_id"),
         F.col("price").alias("new_price"),
         F.col("unit_price.value").alias("new_value"),
         F.col("unit_price.unit").alias("new_unit"),
     )
-    merged = cat.prices.join(fresh, ["product_id", "store_id"], "full_outer")
+    known, fresh = _apply(cat.prices, edits, ["product_id", "store_id"])
     touched = F.col("new_price").isNotNull()
     return ordered(
-        merged.withColumns(
+        known.unionByName(fresh, allowMissingColumns=True).withColumns(
             {
                 "price": F.coalesce("new_price", "price"),
                 "price_per_unit": F.when(touched, F.col("new_value")).otherwise(F.col("price_per_unit")),
@@ -91,19 +102,13 @@ def create_products(cat: Catalog, edits: DataFrame, as_of: datetime) -> Catalog:
         F.max_by(F.struct(*overwritten, "price", "unit_price"), "seq").alias("new"),
         F.min("seq").alias("first_seq"),
     )
-    merged = cat.products.join(fold, keys, "full_outer")
+    known, fresh = _apply(cat.products, fold, keys)
+    fresh = assign_ids(fresh, max_id(cat.products), ["first_seq", *keys])
     touched = F.col("first_seq").isNotNull()
-    merged = merged.withColumns(
+    numbered = known.unionByName(fresh, allowMissingColumns=True).withColumns(
         {c: F.when(touched, F.col(f"new.{c}")).otherwise(F.col(c)) for c in overwritten}
         | {"created_at": F.coalesce("created_at", now)}
     )
-    merged = materialize(merged, "edited")
-    fresh = assign_ids(
-        merged.filter(F.col("id").isNull()).drop("id"),
-        max_id(cat.products),
-        ["first_seq", *keys],
-    )
-    numbered = merged.filter(F.col("id").isNotNull()).unionByName(fresh)
     priced = numbered.filter(touched).select(
         F.col("id").alias("product_id"), "new.price", "new.unit_price"
     )
