@@ -26,7 +26,7 @@ from shelfwise.functions.text import (
     tokens_of,
 )
 from shelfwise.schemas import NATIONAL
-from shelfwise.session import materialize
+from shelfwise.session import broadcast_if_small, materialize
 from shelfwise.sources.search_index import SearchIndex
 from shelfwise.sources.snapshot import Catalog
 
@@ -236,7 +236,8 @@ def _category_arm(cat: Catalog, q: DataFrame, cap: int | None) -> DataFrame:
         "county",
         F.when(browsing, 0).otherwise(NO_POSITION).alias("match_rank"),
     )
-    lists = users.select(*_LIST).distinct()
+    # few lists go to the products, so that a category of very many products is no one task's
+    lists = broadcast_if_small(users.select(*_LIST).distinct())
     rows = lists.join(
         _products_of(cat, "category"), F.col("list_category") == F.col("p_category")
     ).filter(F.col("supermarket").isNull() | (F.col("supermarket") == F.col("chain_slug")))
