@@ -214,7 +214,7 @@ def training_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, pe
     """(lang, text): of each language the ``per_lang`` training texts whose ids hash lowest, one text an id."""
     ids = df.filter(~in_fold(id_col, FOLDS, HELD_OUT) & F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(lang_col).alias("lang")
-    )
+    ).distinct()  # an id counts once, however often it repeats
     # top k per language: first of each salted part, so that no task ranks a common language alone
     order = F.xxhash64("id")
     for keys in (["lang", "salt"], ["lang"]):

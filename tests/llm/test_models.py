@@ -1,5 +1,7 @@
 """Language identification, toxicity and quality: held-out accuracy, and odd rows."""
 
+from collections import defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -184,3 +186,78 @@ def test_a_repeated_id_brings_one_text_into_a_sample(spark):
     labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
     ids = [r["id"] for r in toxicity.labelled(several, labels, "toxic", 100).collect()]
     assert len(ids) == len(set(ids)) > 0
+
+
+def test_kneser_ney_against_its_formula():
+    words = {"a": ["banana", "bandana", "anna", "nab"], "b": ["otto", "toto", "bott"]}
+    counts = defaultdict(int)
+    for lang, known in words.items():
+        for k, w in enumerate(known):
+            padded = "\x02" * 3 + w + "\x02"
+            for i in range(len(padded) - 3):
+                counts[lang, padded[i : i + 4]] += k + 1
+    models = language_id.Models(sorted(words), dict(counts))
+    alphabet = len({g[-1] for _, g in counts}) + 1
+
+    tails = {}
+    level = {lang: {g for of, g in counts if of == lang} for lang in words}
+    for width in (3, 2, 1):
+        tails[width] = {lang: defaultdict(int) for lang in words}
+        for lang in words:
+            for g in level[lang]:
+                tails[width][lang][g[1:]] += 1
+        level = {lang: set(tails[width][lang]) for lang in words}
+
+    def p(lang, gram):
+        if not gram:
+            return 1 / alphabet
+        table = {g: n for (of, g), n in counts.items() if of == lang} if len(gram) == 4 else tails[len(gram)][lang]
+        after = {g: n for g, n in table.items() if g[:-1] == gram[:-1]}
+        if not after:
+            return p(lang, gram[1:])
+        total = sum(after.values())
+        seen = max(after.get(gram, 0) - language_id.DISCOUNT, 0) / total
+        return seen + language_id.DISCOUNT * len(after) / total * p(lang, gram[1:])
+
+    for word in ("banana", "otto", "bab", "xyz", "nnoo"):
+        padded = "\x02" * 3 + word + "\x02"
+        want = [sum(np.log(p(lang, padded[i : i + 4])) for i in range(len(padded) - 3)) for lang in sorted(words)]
+        assert np.allclose(models.word(word), want), word
+
+
+def test_noisy_or_against_its_formula():
+    model = toxicity.Model({"vile": 4.0, "vil*": 1.5, "nice": -2.0, "rude*": 3.0}, -2.5, 0.03)
+
+    def plain(text):
+        left = 1 - 0.03
+        for sentence in text.lower().replace("!", ".").replace("?", ".").replace("\n", ".").split("."):
+            seen = {w for w in sentence.replace(",", " ").split()}
+            z = sum(model.weights.get(f, 0.0) for w in seen for f in [w, *[w[:k] + "*" for k in (3, 4, 5) if len(w) >= k]])
+            if z:
+                left *= 1 - 1 / (1 + np.exp(-(-2.5 + z)))
+        return 1 - left
+
+    texts = ["Vile! So vile.\nnice day", "nothing here", "", "Rudeness? villain, nice", "nice nice. " * 3 + "vile"]
+    for text in [*texts, "plain words. " * 100_000 + "vile"]:
+        assert np.isclose(model.score(text)[0], plain(text)), text[:40]
+    assert [i for i, _ in model.score(texts[0])[1]] == [0, 1]
+
+
+def test_fit_minimises_the_positive_unlabelled_risk():
+    draw = np.random.default_rng(4)
+    good, bad = draw.normal(1.5, 1, (900, 3)), draw.normal(-1.5, 1, (900, 3))
+    unlabelled = np.vstack([good[:450], bad])  # a third of them good
+    model = quality_classifier.fit(good[450:], unlabelled)
+    assert 0.25 < model.prior < 0.42
+    p, u = (np.hstack([quality_classifier.design(x, model.edges), np.ones((len(x), 1))]) for x in (good[450:], unlabelled))
+
+    def risk(w):
+        zp, zu = p @ w, u @ w
+        negative = np.logaddexp(0, zu).mean() - model.prior * np.logaddexp(0, zp).mean()
+        return model.prior * np.logaddexp(0, -zp).mean() + max(0.0, negative)
+
+    found = np.append(model.weights, model.bias)
+    assert risk(found) < 0.5 * risk(np.zeros_like(found))
+    assert all(risk(found) <= risk(found + 0.3 * draw.standard_normal(len(found))) + 0.01 for _ in range(20))
+    assert (model.scores(good) > 0.5).mean() > 0.9 and (model.scores(bad) > 0.5).mean() < 0.1
+    assert len(quality_classifier.measured(["word " * 300_000])) == 1
