@@ -102,3 +102,19 @@ def test_names_and_labels(spark):
     assert [tuple(r) for r in rows] == [
         ("fanta pere", "Fanta Pere"), ("zuzu lapte", "Zuzu Lapte"), ("lapte", "Lapte"), ("lapte", "Lapte"),
     ]
+
+
+def test_texts_are_parsed_once(spark):
+    odd = ["a b", " a  b ", "a \t b", "a_b", "a _b", "a_ b", " a ", "_", " ", "", None, "x - y", "ab\n"]
+    plain = [None if s is None else nfd(s) for s in odd]
+    assert values(spark, odd, text.normalize_text) == plain
+    assert values(spark, odd, text.js_trim) == [None if s is None else s.strip(" \t\n  ") for s in odd]
+    packs = ["2 x 1,5 l", "2x500 g", "12 role", "0,75 l", "3 x 2 buc", "bucata", "x 5 kg", "9" * 20 + " g", "set 6 oua"]
+    got = [g and tuple(g) for g in values(spark, packs, units.parse_unit_size)]
+    want = [(3.0, "l"), (1.0, "kg"), (12.0, "buc"), (0.75, "l"), (6.0, "buc"), (1.0, "buc"), (5.0, "kg")]
+    assert got[:7] == want and got[8] == (6.0, "buc")
+    df = spark.createDataFrame([(5.0, "2 kg")], "p double, u string")
+    plan = df.select(units.price_per_unit(F.col("p"), units.parse_unit_size(F.col("u"))).alias("x"))
+    shown = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count(units.MULTIPACK) == 1  # the pack was parsed for each field before
+    assert tuple(plan.first()["x"]) == (2.5, "kg")
