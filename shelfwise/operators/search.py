@@ -197,7 +197,13 @@ def _first_rows(df: DataFrame, keys: list[str], n: int | None) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 
 
-def _name_arm(cat: Catalog, q: DataFrame, cap: int | None, compat: bool) -> DataFrame:
+def _best_offers(rows: DataFrame, keys: list[str], n: int | None) -> DataFrame:
+    """The first offer of every product, and the first ``n`` of those per key."""
+    best = rows.groupBy(*keys, "product_id").agg(F.min(F.struct("match_rank", "price", "store_id")).alias("r"))
+    return _first_rows(best.select(*keys, "product_id", "r.*").select(*keys, *_ORDER), keys, n)
+
+
+def _name_arm(cat: Catalog, q: DataFrame, cap: int | None, compat: bool, limit: int | None) -> DataFrame:
     matches = name_matches(cat.search_index(), q, compat)
     wanted = (
         q.withColumnRenamed("category", "want_category")
@@ -210,13 +216,14 @@ def _name_arm(cat: Catalog, q: DataFrame, cap: int | None, compat: bool) -> Data
         (F.col("normalized_name") == F.col("p_name")) & _same("category", "p_category"),
     ).filter(F.col("supermarket").isNull() | (F.col("supermarket") == F.col("chain_slug")))
     rows = _priced(cat, rows.select("query_id", "city", "county", "product_id", "match_rank"))
-    return _first_rows(rows.select("query_id", *_ORDER), ["query_id"], cap)
+    rows = rows.select("query_id", *_ORDER)
+    return _best_offers(rows, ["query_id"], limit) if cap is None else _first_rows(rows, ["query_id"], cap)
 
 
 _LIST = ["list_category", "supermarket", "city", "county"]
 
 
-def _category_arm(cat: Catalog, q: DataFrame, cap: int | None) -> DataFrame:
+def _category_arm(cat: Catalog, q: DataFrame, cap: int | None, limit: int | None) -> DataFrame:
     """Whole categories in price order: browsing (rank 0) and one-word queries (last rank).
 
     Each distinct (category, chain, place) list is ranked once and shared by the
@@ -242,7 +249,8 @@ def _category_arm(cat: Catalog, q: DataFrame, cap: int | None) -> DataFrame:
         _products_of(cat, "category"), F.col("list_category") == F.col("p_category")
     ).filter(F.col("supermarket").isNull() | (F.col("supermarket") == F.col("chain_slug")))
     rows = _priced(cat, rows.select(*_LIST, "product_id")).withColumn("match_rank", F.lit(0))
-    rows = _first_rows(rows.select(*_LIST, *_ORDER), _LIST, cap).drop("match_rank")
+    rows = rows.select(*_LIST, *_ORDER)
+    rows = _best_offers(rows, _LIST, limit) if cap is None else _first_rows(rows, _LIST, cap)
     rows = rows.select(*[F.col(c).alias(f"of_{c}") for c in _LIST], "price", "product_id", "store_id")
     on = [_same(c, f"of_{c}") for c in _LIST]
     return users.join(rows, on).select("query_id", *_ORDER)
@@ -258,23 +266,21 @@ def search_hits(
     """(query_id, hit_no, match_rank, price, product_id, store_id), best offer per product.
 
     ``limit`` hits per query, all of them by default. With a ``candidate_cap`` only so many
-    product-store rows are ranked before products are reduced to their best offer.
+    product-store rows are ranked before products are reduced to their best offer; without, both ways
+    of matching reduce them where they meet their prices, and only ``limit`` of each move on.
     """
     q = prepare_queries(queries)
-    rows = _name_arm(cat, q, candidate_cap, reference_compat).unionByName(
-        _category_arm(cat, q, candidate_cap)
-    )
-    offers = (
-        rows.groupBy("query_id", "product_id", "store_id")
-        .agg(F.min(F.struct("match_rank", "price")).alias("r"))
-        .select("query_id", "product_id", "store_id", "r.match_rank", "r.price")
-    )
-    offers = _first_rows(offers, ["query_id"], candidate_cap)
-    best = (
-        offers.groupBy("query_id", "product_id")
-        .agg(F.min(F.struct("match_rank", "price", "store_id")).alias("r"))
-        .select("query_id", "product_id", "r.match_rank", "r.price", "r.store_id")
+    offers = _name_arm(cat, q, candidate_cap, reference_compat, limit).unionByName(
+        _category_arm(cat, q, candidate_cap, limit)
     )
+    if candidate_cap is not None:
+        offers = (
+            offers.groupBy("query_id", "product_id", "store_id")
+            .agg(F.min(F.struct("match_rank", "price")).alias("r"))
+            .select("query_id", "product_id", "store_id", "r.match_rank", "r.price")
+        )
+        offers = _first_rows(offers, ["query_id"], candidate_cap)
+    best = _best_offers(offers, ["query_id"], None)
     w = Window.partitionBy("query_id").orderBy(*_ORDER)
     return (
         best.withColumn("hit_no", F.row_number().over(w))

@@ -4,7 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from shelfwise.operators import upsert
+from shelfwise.operators import search, upsert
 from shelfwise.plans import registry, testbed
 
 SF = "/root/testdata/sf0.001"
@@ -21,3 +21,18 @@ def test_merged_products_are_derived_once(spark):
     batch = upsert.with_sizes(upsert.valid_products(lines.drop("l_shipdate"))).join(chain, "supermarket_slug")
     out = upsert.upsert_products(cat.products, batch, F.lit(datetime(2000, 1, 1)))
     assert "FullOuter" not in plan(out)  # the merge ran again for each of its readers
+
+
+def test_search_arms_give_one_row_a_product_and_no_more_than_asked(spark):
+    cat = testbed.catalog(spark, SF)
+    queries = spark.createDataFrame([(1, "lapte", None), (2, "ulei", None), (3, None, "bauturi")], "query_id bigint, q string, category string")
+    q = search.prepare_queries(queries)
+    arms = [search._name_arm(cat, q, None, True, 4), search._category_arm(cat, q, None, 4)]
+    for rows in arms:  # every product and store before
+        got = rows.collect()
+        assert got and len(got) == len({(r["query_id"], r["product_id"]) for r in got})
+        assert max(sum(r["query_id"] == i for r in got) for i in (1, 2, 3)) == 4
+    # the cut of each arm loses none of the first hits
+    whole = {(r["query_id"], r["hit_no"], r["product_id"], r["store_id"]) for r in search.search_hits(cat, queries).collect()}
+    some = search.search_hits(cat, queries, limit=4).collect()
+    assert {(r["query_id"], r["hit_no"], r["product_id"], r["store_id"]) for r in some} == {w for w in whole if w[1] <= 4}
