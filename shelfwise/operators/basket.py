@@ -63,6 +63,18 @@ def _every_chain(cat: Catalog) -> Column:
     return cat.supermarkets.agg(F.sort_array(F.collect_list(entry)).alias("chains")).scalar()
 
 
+def _places(cat: Catalog) -> DataFrame:
+    """(supermarket_id, pos): the index of every chain in :func:`_every_chain`."""
+    entry = F.struct("name", F.col("id").alias("supermarket_id"), "slug")
+    every = cat.supermarkets.agg(F.sort_array(F.collect_list(entry)).alias("chains"))
+    return every.select(F.posexplode("chains").alias("pos", "c")).select("c.supermarket_id", "pos")
+
+
+def _others(pos: Column, every: Column) -> Column:
+    """Indexes into ``every`` that are not in ``pos``, ascending."""
+    return F.array_except(F.sequence(F.lit(0), F.size(every) - 1), pos)
+
+
 def _without(every: Column, found: Column) -> Column:
     """The chains whose ids are not in ``found``."""
     return F.filter(every, lambda c: ~F.array_contains(found, c["supermarket_id"]))
@@ -83,20 +95,22 @@ def _join_lines(lines: DataFrame, answers: DataFrame, how: str = "inner") -> Dat
 def _per_basket(lines: DataFrame, lists: DataFrame, empty: str, **sums: Column) -> DataFrame:
     """(basket_id, item_count, found): sums over a basket's lines for every chain in their lists.
 
-    ``found`` is an array of (supermarket_id, sums), at most as long as there are chains. Lines of one
-    basket and chain are added up before they move, so neither a popular query nor a large basket is
-    gathered; chains in no list have no row. One entry without a chain counts the lines.
+    ``found`` is an array of (pos, sums), at most as long as there are chains; chains in no list have no
+    row. Lines move once, with their lists, and are unfolded and added up where their basket is, one at a time;
+    a popular query is not gathered. One entry without a chain counts the lines.
     """
     counting = F.array(F.lit(None).cast(empty))
     entries = F.concat(counting, F.coalesce("chains", F.array().cast(f"array<{empty}>")))
-    rows = _join_lines(lines, lists, "left").select("basket_id", "qty", F.explode(entries).alias("c"))
-    per_chain = rows.groupBy("basket_id", F.col("c.supermarket_id").alias("supermarket_id")).agg(
+    joined = _join_lines(lines, lists, "left").select("basket_id", "qty", "chains").repartition("basket_id")
+    rows = joined.select("basket_id", "qty", F.explode(entries).alias("c"))
+    per_chain = rows.groupBy("basket_id", F.col("c.pos").alias("pos")).agg(
         F.count("*").alias("n"), *[e.alias(k) for k, e in sums.items()]
     )
-    one = F.struct("supermarket_id", *sums)
+    one = F.struct("pos", *sums)
     return per_chain.groupBy("basket_id").agg(
-        F.max(F.when(F.col("supermarket_id").isNull(), F.col("n"))).alias("item_count"),
-        F.collect_list(F.when(F.col("supermarket_id").isNotNull(), one)).alias("found"),
+        F.max(F.when(F.col("pos").isNull(), F.col("n"))).alias("item_count"),
+        F.collect_list(F.when(F.col("pos").isNotNull(), one)).alias("found"),
+        F.collect_list("pos").alias("pos"),
     )
 
 
@@ -109,40 +123,39 @@ def compare_baskets(
     sums are made for those, and what a chain without anything gets is derived as the last ranks.
     """
     lines = valid_lines(lines, max_items)
-    found = _lists(best_per_chain(cat, _asked(lines), strict=True, pick=pick), "supermarket_id", "price")
+    best = best_per_chain(cat, _asked(lines), strict=True, pick=pick).join(F.broadcast(_places(cat)), "supermarket_id")
+    found = _lists(best, "pos", "price")
     sums = _per_basket(
         lines,
         found,
-        "struct<supermarket_id:bigint,price:double>",
+        "struct<pos:int,price:double>",
         total=round_half_up(F.coalesce(F.sum(F.col("c.price") * F.col("qty")), F.lit(0.0)), 2),
         found_count=F.count("c.price"),
     )
-    every = _every_chain(cat)
-    named = F.transform(  # the chain's name decides ties
-        "found",
-        lambda x: F.struct(
-            (-x["found_count"]).alias("less"),
-            x["total"].alias("total"),
-            F.filter(F.col("every"), lambda c: c["supermarket_id"] == x["supermarket_id"])[0].alias("chain"),
-        ),
+    # chains stand in order of their names, which decide ties
+    ordered = F.sort_array(
+        F.transform(
+            "found",
+            lambda x: F.struct((-x["found_count"]).alias("less"), x["total"].alias("total"), x["pos"].alias("pos")),
+        )
     )
-    missing = _without(F.col("every"), F.col("found.supermarket_id"))
-    ranked = sums.withColumn("every", every).select(
-        "basket_id", "item_count", F.sort_array(named).alias("ranked"), missing.alias("missing")
+    ranked = sums.withColumn("every", _every_chain(cat)).select(
+        "basket_id", "item_count", "every", ordered.alias("ranked"), _others(F.col("pos"), F.col("every")).alias("missing")
     )
 
-    def row(chain: Column, total: Column, count: Column, rank: Column) -> Column:
-        return F.struct(
-            chain["supermarket_id"].alias("supermarket_id"), total.alias("total"), count.alias("found_count"),
-            chain["slug"].alias("slug"), chain["name"].alias("name"), rank.cast("int").alias("chain_rank"),
-        )
+    def row(pos: Column, total: Column, count: Column, rank: Column) -> Column:
+        return F.struct(pos.alias("pos"), total.alias("total"), count.alias("found_count"), rank.cast("int").alias("chain_rank"))
 
     rows = F.concat(
-        F.transform("ranked", lambda x, i: row(x["chain"], x["total"], -x["less"], i + 1)),
-        F.transform("missing", lambda c, i: row(c, F.lit(0.0), F.lit(0).cast("bigint"), F.size("ranked") + i + 1)),
+        F.transform("ranked", lambda x, i: row(x["pos"], x["total"], -x["less"], i + 1)),
+        F.transform("missing", lambda p, i: row(p, F.lit(0.0), F.lit(0).cast("bigint"), F.size("ranked") + i + 1)),
     )
-    return ranked.select("basket_id", "item_count", F.inline(rows)).withColumn(
-        "missing_count", F.col("item_count") - F.col("found_count")
+    listed = ranked.select("basket_id", "item_count", "every", F.inline(rows))
+    chain = F.get("every", F.col("pos"))
+    return listed.select(
+        "basket_id", "item_count", chain["supermarket_id"].alias("supermarket_id"), "total", "found_count",
+        chain["slug"].alias("slug"), chain["name"].alias("name"), "chain_rank",
+        (F.col("item_count") - F.col("found_count")).alias("missing_count"),
     )
 
 
@@ -236,11 +249,12 @@ def missing_counts(cat: Catalog, lines: DataFrame, pick: str = "best_rank") -> D
             "other": F.when(F.col("alt_product_id").isNotNull(), 1).otherwise(0),
         }
     )
-    lists = _lists(items.filter("found + other > 0"), "supermarket_id", "found", "other")
+    items = items.filter("found + other > 0").join(F.broadcast(_places(cat)), "supermarket_id")
+    lists = _lists(items, "pos", "found", "other")
     sums = _per_basket(
         lines,
         lists,
-        "struct<supermarket_id:bigint,found:int,other:int>",
+        "struct<pos:int,found:int,other:int>",
         found_count=F.sum("c.found"),
         alternative_count=F.sum("c.other"),
     ).withColumn("every", _every_chain(cat))
@@ -249,21 +263,22 @@ def missing_counts(cat: Catalog, lines: DataFrame, pick: str = "best_rank") -> D
         F.transform(
             "found",
             lambda x: F.struct(
-                x["supermarket_id"].alias("supermarket_id"),
+                x["pos"].alias("pos"),
                 (F.col("item_count") - x["found_count"]).alias("missing_count"),
                 x["alternative_count"].alias("alternative_count"),
             ),
         ),
         F.transform(
-            _without(F.col("every"), F.col("found.supermarket_id")),
-            lambda c: F.struct(
-                c["supermarket_id"].alias("supermarket_id"),
-                F.col("item_count").alias("missing_count"),
-                zero.alias("alternative_count"),
+            _others(F.col("pos"), F.col("every")),
+            lambda p: F.struct(
+                p.alias("pos"), F.col("item_count").alias("missing_count"), zero.alias("alternative_count")
             ),
         ),
     )
-    return sums.select("basket_id", F.inline(rows))
+    return sums.select("basket_id", "every", F.inline(rows)).select(
+        "basket_id", F.get("every", F.col("pos"))["supermarket_id"].alias("supermarket_id"),
+        "missing_count", "alternative_count",
+    )
 
 
 def compare_items(cat: Catalog, lines: DataFrame, pick: str = "best_rank") -> DataFrame:

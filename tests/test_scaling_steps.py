@@ -4,7 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from shelfwise.operators import search, upsert
+from shelfwise.operators import basket, search, upsert
 from shelfwise.plans import registry, testbed
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +36,12 @@ def test_search_arms_give_one_row_a_product_and_no_more_than_asked(spark):
     whole = {(r["query_id"], r["hit_no"], r["product_id"], r["store_id"]) for r in search.search_hits(cat, queries).collect()}
     some = search.search_hits(cat, queries, limit=4).collect()
     assert {(r["query_id"], r["hit_no"], r["product_id"], r["store_id"]) for r in some} == {w for w in whole if w[1] <= 4}
+
+
+def test_basket_lines_move_before_they_are_unfolded(spark):
+    cat = testbed.catalog(spark, SF)
+    lines = registry.basket_lines(spark, SF)
+    shown = plan(basket.compare_baskets(cat, lines)).split("\n")
+    moved = next(i for i, x in enumerate(shown) if "RepartitionByExpression [basket_id" in x)
+    unfolded = next(i for i, x in enumerate(shown) if "Generate explode(concat" in x or "Generate explode(" in x and "chains" in x)
+    assert unfolded < moved  # the plan reads upwards; nothing moved before the explosion otherwise
