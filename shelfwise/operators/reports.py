@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.categories import CATEGORIES
 from shelfwise.functions.text import normalize_text
+from shelfwise.session import materialize
 from shelfwise.sources.snapshot import Catalog
 
 PAGE = 50
@@ -46,8 +47,8 @@ def product_page(cat: Catalog, q: str | None = None, offset: int = 0) -> DataFra
     """
     products = cat.products
     if q:
-        wanted = normalize_text(F.lit(q))
-        products = products.filter(F.contains(F.col("normalized_name"), wanted))
+        wanted = cat.spark.range(1).select(normalize_text(F.lit(q)).alias("q")).first()["q"]  # once, not for every product
+        products = products.filter(F.contains(F.col("normalized_name"), F.lit(wanted)))
     chains = cat.supermarkets.select(
         F.col("id").alias("supermarket_id"), F.col("name").alias("supermarket")
     )
@@ -58,6 +59,7 @@ def product_page(cat: Catalog, q: str | None = None, offset: int = 0) -> DataFra
         .offset(offset)
         .limit(PAGE)
     )
+    page = materialize(page, "page")  # fifty rows, read twice
     priced = (
         cat.prices.join(F.broadcast(page.select("id")), F.col("product_id") == F.col("id"))
         .groupBy("product_id")

@@ -4,7 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from shelfwise.operators import basket, search, upsert
+from shelfwise.operators import basket, reports, search, upsert
 from shelfwise.plans import registry, testbed
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +45,9 @@ def test_basket_lines_move_before_they_are_unfolded(spark):
     moved = next(i for i, x in enumerate(shown) if "RepartitionByExpression [basket_id" in x)
     unfolded = next(i for i, x in enumerate(shown) if "Generate explode(concat" in x or "Generate explode(" in x and "chains" in x)
     assert unfolded < moved  # the plan reads upwards; nothing moved before the explosion otherwise
+
+
+def test_page_reads_products_once(spark):
+    cat = testbed.catalog(spark, SF)
+    out = reports.product_page(cat, "Ring LAP", 10)
+    assert "normalized_name" not in plan(out)  # the products were read and searched twice
