@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.numbers import round_half_up
 from shelfwise.functions.text import alternative_stem, js_trim
-from shelfwise.operators.search import best_per_chain
+from shelfwise.operators.search import best_per_chain, chain_offers
 from shelfwise.session import materialize
 from shelfwise.sources.snapshot import Catalog
 
@@ -171,11 +171,13 @@ def runners_up(comparison: DataFrame, n: int = 3) -> DataFrame:
     return comparison.filter((F.col("found_count") > 0) & (F.col("chain_rank") > n))
 
 
-def alternatives(cat: Catalog, misses: DataFrame, reference_compat: bool = True) -> DataFrame:
+def alternatives(
+    cat: Catalog, misses: DataFrame, reference_compat: bool = True, offers: DataFrame | None = None
+) -> DataFrame:
     """Loose suggestions for missed (query, city, county, supermarket_id) rows.
 
     The longest word of the query, cut to a stem, is searched as a word prefix
-    in the chain that missed it.
+    in the chain that missed it. ``offers``: stored ``chain_offers`` of the places.
     """
     staged = misses.withColumn("stem", alternative_stem(F.col("query"))).filter(
         F.col("stem").isNotNull()
@@ -187,6 +189,7 @@ def alternatives(cat: Catalog, misses: DataFrame, reference_compat: bool = True)
         strict=False,
         prefix=True,
         reference_compat=reference_compat,
+        offers=offers,
     ).select(
         *[F.col(f"query_id.{c}").alias(f"b_{c}") for c in ("stem", "city", "county")],
         F.col("supermarket_id").alias("b_supermarket_id"),
@@ -206,16 +209,9 @@ def answer_items(cat: Catalog, lines: DataFrame, pick: str = "best_rank") -> Dat
     Columns: query, city, county, supermarket_id, product_id, store_id, price,
     alt_product_id, alt_store_id, alt_price.
     """
-    asked = _asked(lines)
-    found = materialize(
-        best_per_chain(cat, asked, strict=True, pick=pick).select(
-            "query_id", "supermarket_id", "product_id", "store_id", "price"
-        ),
-        "answers",
-    )
-    missed = _missed(cat, asked, found)
+    found, missed, offers = _answered(cat, lines, pick)
     keys = [*_WANT, "supermarket_id"]
-    alts = alternatives(cat, missed)
+    alts = alternatives(cat, missed, offers=offers)
     a = alts.select(
         *[F.col(c).alias(f"m_{c}") for c in keys], "alt_product_id", "alt_store_id", "alt_price"
     )
@@ -226,6 +222,25 @@ def answer_items(cat: Catalog, lines: DataFrame, pick: str = "best_rank") -> Dat
     )
 
 
+def _answered(cat: Catalog, lines: DataFrame, pick: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(found, missed, offers): products found, the complement, and the offers both kinds of search read."""
+    asked = _asked(lines)
+    offers = materialize(chain_offers(cat, asked), "offers")
+    found = materialize(
+        best_per_chain(cat, asked, strict=True, pick=pick, offers=offers).select(
+            "query_id", "supermarket_id", "product_id", "store_id", "price"
+        ),
+        "answers",
+    )
+    return found, _missed(cat, asked, found), offers
+
+
+def missed_alternatives(cat: Catalog, lines: DataFrame, pick: str = "best_rank") -> DataFrame:
+    """:func:`alternatives` of every distinct (query, place) in the chains without a product."""
+    _, missed, offers = _answered(cat, lines, pick)
+    return alternatives(cat, missed, offers=offers)
+
+
 def _missed(cat: Catalog, asked: DataFrame, found: DataFrame) -> DataFrame:
     """(query, city, county, supermarket_id): the complement of what was found, chain by chain."""
     has = found.groupBy("query_id").agg(F.collect_list("supermarket_id").alias("has"))

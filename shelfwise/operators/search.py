@@ -333,32 +333,15 @@ def _place(is_national: Column, city: Column, county: Column) -> Column:
     )
 
 
-def best_per_chain(
-    cat: Catalog,
-    queries: DataFrame,
-    strict: bool,
-    prefix: bool = False,
-    reference_compat: bool = True,
-    pick: str = "best_rank",
-) -> DataFrame:
-    """First hit of every query in every chain: (query_id, supermarket_id, best).
+def chain_offers(cat: Catalog, queries: DataFrame) -> DataFrame:
+    """The first offer of every (name, chain, place), for the places of ``queries`` (city, county).
 
-    ``queries`` holds distinct (query_id, q, city, county) rows. Only the first
-    offer of a (name, chain, place) can ever win, so offers are reduced to those
-    once, whatever the number of queries, and each query shape is then reduced
-    per chain and place before localities are looked up. Chains without a hit
-    have no row. ``pick='cheapest'`` orders by price before rank.
+    Whatever the queries' number and kind, so searches over the same places can share it.
     """
-    q = prepare_queries(
-        queries.select("query_id", "q", "city", "county").withColumns(
-            {"strict": F.lit(strict), "prefix": F.lit(prefix)}
-        )
-    )
-    q = materialize(q, "queries")
     null = F.lit(None).cast("string")
+    local = F.lit(False)
     places = (
-        q.select(F.lit(False).alias("is_national"), F.col("city").alias("in_city"),
-                 F.col("county").alias("in_county"))
+        queries.select(local.alias("is_national"), F.col("city").alias("in_city"), F.col("county").alias("in_county"))
         .unionByName(
             cat.spark.range(1).select(
                 F.lit(True).alias("is_national"), null.alias("in_city"), null.alias("in_county")
@@ -372,7 +355,6 @@ def best_per_chain(
     prices = cat.prices.select("product_id", "store_id", "price")
     stores = cat.stores.select(F.col("id").alias("store_id"), "city", "county")
     city, county = F.col("city"), F.col("county")
-    local = F.lit(False)
     open_to = F.when(
         F.col("store_id") == NATIONAL, F.array(_place(F.lit(True), null, null))
     ).otherwise(
@@ -385,7 +367,6 @@ def best_per_chain(
             )
         )
     )
-    name_keys = ["normalized_name", "category", "supermarket_id", *_PLACE]
     offers = (
         products.join(prices, "product_id")
         .join(stores, "store_id", "left")
@@ -396,12 +377,41 @@ def best_per_chain(
         .select("*", "place.*")
         .drop("place")
     )
-    reduced = (
+    return (
         _semi_null_safe(offers, places, _PLACE)
-        .groupBy(*name_keys)
+        .groupBy("normalized_name", "category", "supermarket_id", *_PLACE)
         .agg(F.min(F.struct("price", "product_id", "store_id")).alias("offer"))
     )
-    if not strict:
+
+
+def best_per_chain(
+    cat: Catalog,
+    queries: DataFrame,
+    strict: bool,
+    prefix: bool = False,
+    reference_compat: bool = True,
+    pick: str = "best_rank",
+    offers: DataFrame | None = None,
+) -> DataFrame:
+    """First hit of every query in every chain: (query_id, supermarket_id, best).
+
+    ``queries`` holds distinct (query_id, q, city, county) rows. Only the first
+    offer of a (name, chain, place) can ever win, so offers are reduced to those
+    once, whatever the number of queries, and each query shape is then reduced
+    per chain and place before localities are looked up. Chains without a hit
+    have no row. ``pick='cheapest'`` orders by price before rank. ``offers``: stored
+    :func:`chain_offers` of these places, or of more.
+    """
+    q = prepare_queries(
+        queries.select("query_id", "q", "city", "county").withColumns(
+            {"strict": F.lit(strict), "prefix": F.lit(prefix)}
+        )
+    )
+    q = materialize(q, "queries")
+    null = F.lit(None).cast("string")
+    local, city, county = F.lit(False), F.col("city"), F.col("county")
+    reduced = chain_offers(cat, q) if offers is None else offers
+    if offers is None and not strict:
         reduced = materialize(reduced, "offers")  # read by name and by category
 
     def ranked(rank: Column) -> Column:
