@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import basket, reports, search, upsert
 from shelfwise.plans import registry, testbed
+from shelfwise.session import tasks_for
+from shelfwise.sources import catalogue_csv
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +53,45 @@ def test_page_reads_products_once(spark):
     cat = testbed.catalog(spark, SF)
     out = reports.product_page(cat, "Ring LAP", 10)
     assert "normalized_name" not in plan(out)  # the products were read and searched twice
+
+
+def physical(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_alternatives_reduce_the_offers_once(spark, monkeypatch):
+    made = []
+    for module in (search, basket):
+        def counted(df, label, write=module.materialize):
+            made.append(label)
+            return write(df, label)
+
+        monkeypatch.setattr(module, "materialize", counted)
+    registry.QUERIES["alternatives"](spark, SF)
+    assert made.count("offers") == 1 and made.count("queries") == 2  # three passes over all prices before
+
+
+def test_basket_tasks_grow_with_the_lines(spark):
+    lines = testbed.table(spark, SF, "lineitem")
+    assert tasks_for(lines, 100) == -(-lines.count() // 100) and tasks_for(lines) == spark.sparkContext.defaultParallelism
+    shown = registry.QUERIES["basket_assembly"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in shown.split("\n") if "Exchange hashpartitioning(" in x]
+    assert len(moved) == 1 and "l_orderkey" in moved[0]  # by basket and query, in a fixed number of tasks, before
+
+
+def test_stored_parts_are_described_by_all_tasks_and_prices_hashed(spark):
+    shown = plan(testbed.products(spark, SF)).split("\n")
+    assert sum(x.strip(" :+-").startswith("Repartition ") for x in shown) == 2  # lines only before
+    assert "SortAggregate" not in physical(testbed.prices(spark, SF))
+
+
+def test_written_files_are_bounded_and_read_in_order(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i), f'n "{i}"\nx', 1.0 + i) for i in range(50)], "external_id string, name string, price double")
+    for c in ("brand", "category", "unit_size", "image_url", "url"):
+        rows = rows.withColumn(c, F.lit(None).cast("string"))
+    rows = rows.withColumn("old_price", F.lit(None).cast("double")).coalesce(1)
+    path = str(tmp_path / "out")
+    catalogue_csv.write_catalogue_csv(catalogue_csv.catalogue_csv_rows(rows, "metro"), path, file_rows=7)
+    assert len(list((tmp_path / "out").glob("*.csv"))) == 8
+    back = catalogue_csv.read_catalogue_csv(spark, path).orderBy("seq").collect()
+    assert [r["external_id"] for r in back] == [str(i) for i in range(50)]
