@@ -122,7 +122,9 @@ def _pairs(keyed: DataFrame, keys: list[str]) -> DataFrame:
         condition = near
         for c in (*same, *more):
             condition = condition & c
-        return left.alias("a").join(right.alias("b"), condition).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+        # Spark sizes signatures as if each fingerprint had one of them, and would broadcast all of a table
+        left, right = left.hint("merge").alias("a"), right.alias("b")
+        return left.join(right, condition).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
     exact, wild = keyed.filter("side IS NULL"), keyed.filter("side IS NOT NULL")
     return meet(exact, exact, F.col("a.fp") < F.col("b.fp")).union(meet(wild.filter("side = 0"), wild.filter("side = 1")))
