@@ -57,6 +57,11 @@ def _asked(lines: DataFrame) -> DataFrame:
     return pairs.select(F.struct(*_WANT).alias("query_id"), F.col("query").alias("q"), "city", "county")
 
 
+def _stored(lines: DataFrame) -> DataFrame:
+    """What sums over lines need of them, written once: they are made from the events a single time."""
+    return materialize(lines.select("basket_id", "qty", *_WANT), "lines")
+
+
 def _every_chain(cat: Catalog) -> Column:
     """All chains as one array, by name: as many as a basket's answer lists."""
     entry = F.struct("name", F.col("id").alias("supermarket_id"), "slug")
@@ -122,9 +127,9 @@ def compare_baskets(
     The distinct (query, place) pairs are answered once, with the chains that have something only;
     sums are made for those, and what a chain without anything gets is derived as the last ranks.
     """
-    lines = valid_lines(lines, max_items)
+    lines = _stored(valid_lines(lines, max_items))
     best = best_per_chain(cat, _asked(lines), strict=True, pick=pick).join(F.broadcast(_places(cat)), "supermarket_id")
-    found = _lists(best, "pos", "price")
+    found = materialize(_lists(best, "pos", "price"), "answers")
     sums = _per_basket(
         lines,
         found,
@@ -256,7 +261,7 @@ def missing_counts(cat: Catalog, lines: DataFrame, pick: str = "best_rank") -> D
     As :func:`missing_report` of :func:`compare_items`, without a row per line and chain: only chains
     with a product or an alternative are listed, all others miss the whole basket.
     """
-    lines = valid_lines(lines)
+    lines = _stored(valid_lines(lines))
     items = answer_items(cat, lines, pick).withColumns(
         {
             "query_id": F.struct(*_WANT),

@@ -1,12 +1,13 @@
 """Shared steps do their heavy work once and where the rows already are."""
 
+import time
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from shelfwise.operators import basket, reports, search, upsert
 from shelfwise.plans import registry, testbed
-from shelfwise.session import tasks_for
+from shelfwise.session import materialize, tasks_for
 from shelfwise.sources import catalogue_csv
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +96,26 @@ def test_written_files_are_bounded_and_read_in_order(spark, tmp_path):
     assert len(list((tmp_path / "out").glob("*.csv"))) == 8
     back = catalogue_csv.read_catalogue_csv(spark, path).orderBy("seq").collect()
     assert [r["external_id"] for r in back] == [str(i) for i in range(50)]
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+
+def test_shuffles_of_a_stored_table_go_with_its_job(spark):
+    before = shuffle_files(spark)
+    stored = materialize(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "counts")
+    for _ in range(50):  # they go in the background
+        if not shuffle_files(spark) - before:
+            break
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before  # all stayed until the driver collected its garbage
+    assert stored.count() == 100 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_basket_lines_are_made_once(spark):
+    cat = testbed.catalog(spark, SF)
+    lines = registry.basket_lines(spark, SF)
+    for out in (basket.compare_baskets(cat, lines), basket.missing_counts(cat, lines)):
+        assert "l_orderkey" not in plan(out)  # joined and moved again for the sums
