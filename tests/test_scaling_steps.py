@@ -1,5 +1,6 @@
 """Shared steps do their heavy work once and where the rows already are."""
 
+import os
 import time
 from datetime import datetime
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import basket, reports, search, upsert
 from shelfwise.plans import registry, testbed
-from shelfwise.session import materialize, tasks_for
+from shelfwise.session import materialize, settled, shared_dir, tasks_for
 from shelfwise.sources import catalogue_csv
 
 SF = "/root/testdata/sf0.001"
@@ -119,3 +120,21 @@ def test_basket_lines_are_made_once(spark):
     lines = registry.basket_lines(spark, SF)
     for out in (basket.compare_baskets(cat, lines), basket.missing_counts(cat, lines)):
         assert "l_orderkey" not in plan(out)  # joined and moved again for the sums
+
+
+def test_stream_leaves_its_published_tables_only(spark):
+    testbed.catalog(spark, SF)
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    rows = registry.stream_ingest(spark, SF)
+    made = sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before)
+    assert made == ["landing", "live", "stream"]  # and all tables of every batch
+    assert rows.count() == testbed.catalog(spark, SF).prices.count() > 0
+
+
+def test_a_settled_table_outlives_what_it_was_made_of(spark):
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    rows = settled(spark, lambda: materialize(spark.range(5), "step").filter("id > 1"), "whole")
+    assert [r["id"] for r in rows.orderBy("id").collect()] == [2, 3, 4]
+    assert [x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before] == ["whole"]
